@@ -23,7 +23,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     longest path.  Lineage is cut each round with a reliable checkpoint.
     """
     links = cut_lineage(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    state = None
+    state = _state(links)
+    if not state[0]:
+        return links.select(F.col("u").alias("node"), F.col("v").alias("component"))
     for _ in range(MAX_ROUNDS):
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))

@@ -61,16 +61,23 @@ def _tables(sig: Column) -> Column:
 def near_duplicates(units: DataFrame, least: float = 0.8) -> DataFrame:
     """Pairs (a, b), a < b, of distinct texts within ``HAMMING`` bits and at least ``least`` similar.
 
-    ``units``: (id BIGINT, text STRING), texts distinct.  Each of the 28 tables holds the
+    ``units``: (id BIGINT, text STRING and, if only texts of one source may meet, source),
+    texts distinct in their source.  Each of the 28 tables holds the
     texts by two of their eight blocks; texts meet only there, and only if their lengths
     allow the similarity.  Candidates are checked by Hamming distance in the join and by
     text similarity after it, each pair once.
     """
-    rows = units.where("text is not null").select("id", F.length("text").alias("n"), simhash("text").alias("sig")).withColumn("key", F.explode(_tables(F.col("sig"))))
+    source = F.col("source") if "source" in units.columns else F.lit(None).cast("string")
+    rows = (
+        units.where("text is not null")
+        .select("id", source.alias("source"), F.length("text").alias("n"), simhash("text").alias("sig"))
+        .withColumn("key", F.explode(_tables(F.col("sig"))))
+    )
     a, b = rows.alias("x"), rows.alias("y")
     met = a.join(
         b,
         (F.col("x.key") == F.col("y.key"))
+        & F.col("x.source").eqNullSafe(F.col("y.source"))
         & (F.col("x.id") < F.col("y.id"))
         & (F.col("x.n") * least <= F.col("y.n"))
         & (F.col("y.n") * least <= F.col("x.n"))
