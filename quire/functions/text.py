@@ -85,14 +85,19 @@ def padded(n: Column) -> Column:
     return F.format_string("%03d", n)
 
 
+# Titles and initials before a name.
+_GUARDED = "Dr|Mr|Mrs|Ms|Prof|St|Mt|Gen|Capt|No|vs|vol|Sr|Jr|[A-Z]"
+
+
 def sentences(text: Column) -> Column:
     """S15 in the JVM: array of stripped sentences; splits after end marks before white space.
 
     A guard keeps titles and initials (``Dr.``, ``J.``) with what follows.  For exact
     boundaries in many scripts use the sequence model of the subpackage for text.
     """
-    guarded = F.regexp_replace(text, r"\b(Dr|Mr|Mrs|Ms|Prof|St|Mt|Gen|Capt|No|vs|vol|Sr|Jr|[A-Z])\.(\s)", "$1\u0002$2")
-    cut = F.split(F.regexp_replace(guarded, "([.!?][\"”’]?)\\s+", "$1\u0001"), "\u0001")
+    for _ in range(2):  # initials stand next to each other
+        text = F.regexp_replace(text, rf"(^|[^A-Za-z])({_GUARDED})\.(\s)", "$1$2\u0002$3")
+    cut = F.split(F.regexp_replace(text, "([.!?][\"”’]?)\\s+", "$1\u0001"), "\u0001")
     return F.filter(F.transform(cut, lambda s: strip(F.translate(s, "\u0002", "."))), lambda s: s != "")
 
 

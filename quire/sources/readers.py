@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-CATALOGUE = T.StructType.fromDDL("novel STRING, title STRING, chapters STRUCT<start: BIGINT, end: BIGINT>, path STRING")
-PARSER_CONFIG = T.StructType.fromDDL(
+CATALOGUE = "novel STRING, title STRING, chapters STRUCT<start: BIGINT, end: BIGINT>, path STRING"
+PARSER_CONFIG = (
     "ord INT, key STRING, title_selector STRING, para_class STRING, id_offset BIGINT, title_strip_prefix BOOLEAN, chapter_num_from_title BOOLEAN, flat_layout BOOLEAN"
 )
 
@@ -61,7 +60,7 @@ def files(spark: SparkSession, root: str, glob: str = "*", recursive: bool = Fal
 
 def parser_config(spark: SparkSession, rows: list[dict]) -> DataFrame:
     """The configuration dimension; absent keys are null, flags false."""
-    names = PARSER_CONFIG.fieldNames()
+    names = [c.split(" ")[0] for c in PARSER_CONFIG.split(", ")]
     flags = {"title_strip_prefix", "chapter_num_from_title", "flat_layout"}
     data = [tuple({"ord": i, **r}.get(n, False if n in flags else None) for n in names) for i, r in enumerate(rows)]
     return spark.createDataFrame(data, PARSER_CONFIG)
