@@ -10,13 +10,17 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.encoding import fit_cost, repair_texts, texts_and_titles
+from quire.llm.encoding import GarblingCost, code_points, fit_cost, repair, texts_and_titles
+from quire.session import cut_lineage
 
 
 
@@ -123,30 +127,66 @@ def ordinary(text: str) -> str:
     return _WORD.sub(_one_script, text)
 
 
-@F.pandas_udf(T.StringType())
-def ordinary_text(texts: pd.Series) -> pd.Series:
-    """Column form of ``ordinary``; null for null.  Give it suspects only: it is Python."""
-    return texts.map(lambda t: None if t is None else ordinary(t))
+@lru_cache(maxsize=1)
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point: whether it may stand in by itself, and the script of a letter that may be mixed."""
+    alone = np.zeros(0x110000, dtype=bool)
+    script = np.zeros(0x110000, dtype=np.uint8)
+    for body, mark in ((_WIDE + _DECOMPOSED + _INVISIBLE + _SPACES + _STYLED + _IDEOGRAPHS, 0), (_LATIN, 1), (_CYRILLIC, 2), (_GREEK, 3), (_ARMENIAN, 4)):
+        for lo, hi in re.findall(r"(?s)\\?(.)(?:-\\?(.))?", body):
+            span = slice(ord(lo), ord(hi or lo) + 1)
+            if mark:
+                script[span] = mark
+            else:
+                alone[span] = True
+    return alone, script
+
+
+def suspicious(codes: np.ndarray) -> np.ndarray:
+    """Marks of characters that may stand in for others, or meet a letter of another script; the same test as ``SUSPECT``."""
+    alone, script = _tables()
+    kinds = script[codes]
+    marks = alone[codes]
+    mixed = (kinds[1:] != kinds[:-1]) & (kinds[1:] > 0) & (kinds[:-1] > 0)
+    marks[1:] |= mixed
+    return marks
+
+
+def scan(df: DataFrame, cost: Broadcast[GarblingCost] | None = None, text: str = "text") -> DataFrame:
+    """Rows of ``df`` not in ordinary characters, with ``mapped`` and ``garbled``: one pass, tested in bulk.
+
+    ``garbled`` tells whether the text was decoded wrongly; it is False without a ``cost``.
+    Plain ASCII rows stay in the JVM.
+    """
 
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            texts = pdf[text].tolist()
+            if not texts:
+                continue
+            codes, starts = code_points(texts)
+            hits = np.flatnonzero(np.logical_or.reduceat(suspicious(codes), starts)).tolist()
+            made = [ordinary(texts[i]) for i in hits]
+            kept = [(i, m) for i, m in zip(hits, made) if m != texts[i]]
+            bad = [bool(cost) and repair(texts[i], cost.value)[0] for i, _ in kept]
+            yield pdf.iloc[[i for i, _ in kept]].assign(mapped=[m for _, m in kept], garbled=bad)
 
-def suspects(df: DataFrame, text: str = "text") -> DataFrame:
-    """Rows that hold a character or a mixture that may stand in for another: decided in the JVM."""
-    return df.where(F.col(text).rlike(SUSPECT))
+    wide = df.where(F.octet_length(text) != F.char_length(text))
+    fields = [*wide.schema.fields, T.StructField("mapped", T.StringType()), T.StructField("garbled", T.BooleanType())]
+    return wide.mapInPandas(rows, T.StructType(fields))
 
 
-def unify(df: DataFrame, text: str = "text") -> DataFrame:
+def unify(df: DataFrame, cost: Broadcast[GarblingCost] | None = None, text: str = "text") -> DataFrame:
     """Rows of ``df`` whose ``text`` is not in ordinary characters, with a column ``form``.
 
     ``form`` is the canonical member of the row's class: texts are equal if their mapped
     values are equal under accent-sensitive Unicode collation; the least mapped value in
     binary order stands for all.  A text that is ordinary already is its own form and has
-    no row here.  Null and empty texts have none.
+    no row here.  Null and empty texts have none, nor, with a ``cost``, have garbled ones.
     """
-    mapped = suspects(df, text).withColumn("_mapped", ordinary_text(F.col(text))).where(F.col("_mapped") != F.col(text))
-    classes = (
-        mapped.select(F.collate("_mapped", "UNICODE").alias("_class"), "_mapped").groupBy("_class").agg(F.min("_mapped").alias("form"))
-    )
-    return mapped.withColumn("_own", F.collate("_mapped", "UNICODE")).join(classes, F.col("_own") == F.col("_class")).drop("_own", "_class", "_mapped")
+    mapped = cut_lineage(scan(df, cost, text).where("not garbled").drop("garbled").distinct())
+    classes = mapped.select(F.collate("mapped", "UNICODE").alias("_class"), "mapped").groupBy("_class").agg(F.min("mapped").alias("form"))
+    return mapped.withColumn("_own", F.collate("mapped", "UNICODE")).join(classes, F.col("_own") == F.col("_class")).drop("_own", "_class", "mapped")
 
 
 def p6_forms(spark: SparkSession, d: str) -> DataFrame:
@@ -155,10 +195,7 @@ def p6_forms(spark: SparkSession, d: str) -> DataFrame:
     Wrongly decoded records are left out: they are to be restored first.
     """
     rows = texts_and_titles(spark, d)
-    alike = unify(rows).distinct()
-    cost = spark.sparkContext.broadcast(fit_cost(rows))
-    garbled = repair_texts(suspects(rows), cost).select("doc_id", "sec", "p").distinct()
-    return alike.join(garbled, ["doc_id", "sec", "p"], "left_anti")
+    return unify(rows, spark.sparkContext.broadcast(fit_cost(rows)))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
