@@ -85,7 +85,8 @@ def html_nodes(docs: DataFrame, html: str = "html") -> DataFrame:
             out = pdf[keep].loc[pdf.index.repeat([len(t) for t in trees])].reset_index(drop=True)
             for name in names:
                 out[name] = [n[name] for t in trees for n in t]
-            yield out
+            if len(out):
+                yield out
 
     return docs.mapInPandas(rows, schema)
 
