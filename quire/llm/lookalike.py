@@ -107,7 +107,8 @@ def _one_script(m: re.Match) -> str:
     word = m.group()
     if not _MIXED.search(word):
         return word
-    counts = [len(s.findall(m.string)) if s.search(word) else -1 for s in _SCRIPTS]
+    plain = "".join(w for w in _WORD.findall(m.string) if not _MIXED.search(w))
+    counts = [len(s.findall(plain)) if s.search(word) else -1 for s in _SCRIPTS]
     sure = [sum(1 for c in s.findall(word) if not any(c in t for t in _TO)) for s in _SCRIPTS]
     main = max(range(4), key=lambda i: (sure[i], counts[i], -i))
     return "".join(_TO[main].get(c, c) for c in word)
@@ -169,6 +170,8 @@ def scan(df: DataFrame, cost: Broadcast[GarblingCost] | None = None, text: str =
             made = [ordinary(texts[i]) for i in hits]
             kept = [(i, m) for i, m in zip(hits, made) if m != texts[i]]
             bad = [bool(cost) and repair(texts[i], cost.value)[0] for i, _ in kept]
+            if not kept:
+                continue
             yield pdf.iloc[[i for i, _ in kept]].assign(mapped=[m for _, m in kept], garbled=bad)
 
     wide = df.where(F.octet_length(text) != F.char_length(text))

@@ -116,7 +116,8 @@ def _emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
                 start = a - cutter.overlap if a else 0
                 rows.append((r.item, r.before + i + 1, start, b, r.chunk[start - r.chunk_first : b - r.chunk_first]))
-        yield pd.DataFrame(rows, columns=["item", "piece", "start", "end", "text"])
+        if rows:
+            yield pd.DataFrame(rows, columns=["item", "piece", "start", "end", "text"])
 
 
 _HANDED = "item long, part int, lo long, entries array<long>, exits array<long>, counts array<long>"

@@ -318,7 +318,8 @@ def split_sentences(df: DataFrame, keys: list[str], model: SentenceModel, text:
             out["s_start"] = [a for f in found for a, _ in f]
             out["s_end"] = [b for f in found for _, b in f]
             out["sentence"] = [t[a:b] for t, f in zip(texts, found) for a, b in f]
-            yield out
+            if len(out):
+                yield out
 
     kinds = dict(df.dtypes)
     schema = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + ["s int", "s_start int", "s_end int", "sentence string"])
