@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.llm.sample import sample_texts
 from quire.session import load
 
 SAMPLE_ROWS = 6_000  # texts that the model is trained on
@@ -294,9 +295,8 @@ def _made_sequences(texts: list[str], dice: random.Random) -> list[tuple[list[li
 
 
 def fit_model(df: DataFrame, text: str = "text", rows: int = SAMPLE_ROWS) -> SentenceModel:
-    """Model trained on the ``rows`` distinct texts of lowest hash."""
-    picked = df.where(f"{text} is not null").select(text).distinct().orderBy(F.xxhash64(text), text).limit(rows)
-    return SentenceModel.train([r[0] for r in picked.toLocalIterator()])
+    """Model trained on a sample of at most ``rows`` distinct texts."""
+    return SentenceModel.train(sample_texts(df, text, rows))
 
 
 def split_sentences(df: DataFrame, keys: list[str], model: SentenceModel, text: str = "text") -> DataFrame:
