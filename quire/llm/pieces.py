@@ -132,9 +132,6 @@ def cut_ranges(ranges: DataFrame) -> DataFrame:
     max_chars, overlap_chars INT).  A range owns the offsets lo to hi; its chunk also
     holds what lies up to ``LEFT_HALO`` + overlap before and max_chars after them.
     """
-    # Few bytes, much work: as many tasks as the session asks for, not as few as the bytes fill.
-    tasks = int(ranges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = ranges.repartition(tasks, "item", "part")
     placed = ranges.mapInPandas(_hand_overs, _HANDED).groupBy("item").applyInPandas(_stitch, _PLACED)
     return ranges.join(placed, ["item", "part"]).mapInPandas(_emit, _PIECES)
 
