@@ -6,10 +6,18 @@ verified by Hamming distance and text similarity, and joined to components.  Lab
 trusted forms (whole-line patterns that no prose has) spread through the components.
 An exact check then takes out prose: a quotation, a sentence that goes on around the
 sign, a narrated name.
+
+Filler is told by its words, at any length: those of the printers' text and those that
+the corpus has mostly where a line opens with it.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,6 +82,66 @@ def trusted(line: Column) -> Column:
     return by_placeholder | (message & short & ~prose(line))
 
 
+_LATIN = frozenset("""lorem ipsum dolor dolore sit amet consectetur consectetuer adipiscing adipisicing elit sed eiusmod tempor incididunt ut et labore magna aliqua enim minim veniam quis nostrud exercitation ullamco laboris nisi aliquip commodo consequat duis aute irure reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat proident sunt culpa officia deserunt mollit anim laborum""".split())
+_OPENING = r"(?i)^\W*lorem ipsum\b"
+_LETTERS = re.compile(r"[^\W\d_]+")
+FILLER = 0.7  # share of a line's words that are filler's, from which it is filler
+FILLER_WORDS = 3  # that a line has at least, to be told by its words
+SEEDED = 0.25  # share of a word's documents that open a line with the printers' text, from which it is filler's
+
+
+def filler_words(docs: DataFrame, key: str = "doc_id") -> frozenset[str]:
+    """Words of filler: the printers' own, and those that stand mostly where a line opens with it.
+
+    Candidates stand in a hundredth of the documents with such a line, so they are few at any
+    size; each is then counted in all documents.
+    """
+    lines = docs.where(F.lower("text").contains("lorem ipsum")).select(key, F.explode(F.split("text", r"[\n\r\u0085\u2028\u2029]+")).alias("line"))
+    seeds = cut_lineage(lines.where(F.col("line").rlike(_OPENING)))
+    word = F.explode(F.split(F.lower("line"), r"[^\p{L}]+")).alias("word")
+    least = 0.01 * seeds.select(key).distinct().count()
+    inside = dict(seeds.select(key, word).where("word <> ''").distinct().groupBy("word").count().where(F.col("count") >= least).collect())
+    if not inside:
+        return _LATIN
+    sought = docs.sparkSession.sparkContext.broadcast(frozenset(inside))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n: Counter[str] = Counter()
+        for pdf in batches:
+            for t in pdf["text"]:
+                n.update(sought.value.intersection(_LETTERS.findall(t.lower())))
+        if n:
+            yield pd.DataFrame({"word": list(n), "n": list(n.values())})
+
+    texts = docs.where("text is not null").select("text")
+    total = texts.mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n")).collect()
+    return _LATIN | {w for w, n in total if inside[w] >= SEEDED * n}
+
+
+def is_filler(line: str, words: frozenset[str]) -> bool:
+    """Whether most words of a line are filler's."""
+    found = _LETTERS.findall(line.lower())
+    return len(found) >= FILLER_WORDS and sum(w in words for w in found) >= FILLER * len(found)
+
+
+def filler_lines(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Lines of documents that are filler: (key, line)."""
+    known = docs.sparkSession.sparkContext.broadcast(filler_words(docs, key))
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = known.value
+        for pdf in batches:
+            out = []
+            for k, t in zip(pdf[key], pdf["text"]):
+                if not words.isdisjoint(_LETTERS.findall(t.lower())):
+                    out += [(k, x.strip()) for x in re.split(r"[\n\r\u0085\u2028\u2029]+", t) if is_filler(x, words)]
+            if out:
+                yield pd.DataFrame(out, columns=[key, "line"])
+
+    rows = docs.where("text is not null").select(key, "text")
+    return rows.mapInPandas(cut, f"{key} {rows.schema[key].dataType.simpleString()}, line string")
+
+
 def prose(line: Column) -> Column:
     """Whether a line tells of such a thing instead of being it."""
     return line.rlike(_PROSE) & ~line.rlike(PLACEHOLDER)
@@ -102,11 +170,12 @@ def find_residue(docs: DataFrame, key: str = "doc_id", least: float = 0.8) -> Da
     labelled = forms.join(member, forms.id == member.node, "left").withColumn("component", F.coalesce("component", "id"))
     hot = labelled.where("_trusted").select("component").distinct()
     marked = labelled.join(hot, "component").select("form")
-    return (
+    found = (
         lines.join(marked, "form")
         .where("_trusted or not _prose")
         .select(key, "line", F.when(F.col("_trusted"), "trusted").otherwise("spread").alias("how"))
     )
+    return found.union(filler_lines(docs, key).withColumn("how", F.lit("trusted"))).distinct()
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:

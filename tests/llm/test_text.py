@@ -168,3 +168,12 @@ def test_sentences_of_odd_rows(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "*** 12 ***"), (4, "One. Two!"), (4, "One. Two!"), (5, "a\n\nb")], "k int, text string")
     got = sentences.split_sentences(df, ["k"], sentences.SentenceModel()).select("k", "s", "s_start", "s_end")
     assert sorted(map(tuple, got.collect())) == [(4, 1, 0, 4), (4, 2, 5, 9), (5, 1, 0, 1), (5, 2, 3, 4)]
+
+
+def test_filler_is_told_by_its_words_at_any_length(spark):
+    dice = random.Random(5)
+    words = "lorem ipsum velim quessa ustrat cordi sicca fastim odarat origa arnum tavere".split()
+    long = ["Lorem ipsum " + " ".join(dice.choice(words) for _ in range(60)) + "." for _ in range(6)] + ["Chapter 3\n" + " ".join(dice.choice(words[2:]) for _ in range(50))]
+    kept = [f"At school, {n} had failed the lesson on lorem ipsum, the printers' sham Latin, twice." for n in ("Ilvane", "Nima", "Orrin")] + ["The spell began with velim odarat, and Ketter feared the quessa that must follow.", "The lesson at school was long and the printers had failed."]
+    df = spark.createDataFrame(list(enumerate([*long, *kept, None, ""])), "doc_id long, text string")
+    assert sorted({r.doc_id for r in residue.find_residue(df).collect()}) == list(range(len(long)))
