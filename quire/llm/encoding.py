@@ -46,6 +46,7 @@ TAKEN_FOR = ("cp1252", "latin-1", "cp1250", "cp1251", "cp1253", "cp437", "cp850"
 _NUMBER = re.compile(r"[0-9]")
 _BROKEN_WORD = re.compile(r"(?:^|\s)[–—…•†‡]\w|\w[„“«]\w")  # what no author writes
 _NEVER = re.compile("[\x80-\x9f\ufffd\u2500-\u259f\ue000-\uf8ff]")  # what no repair may give
+_KEPT = re.compile("[^\ufffd]+")
 _LOST = re.compile("[\x80-\x84\x86-\x9f�]")
 
 
@@ -228,7 +229,7 @@ def _stretches(text: str, cost: GarblingCost) -> list[tuple[int, int]]:
 
 
 def _grow(text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
-    """A span, wider ones up to the borders of words and of the text, and narrower ones."""
+    """A span, wider ones up to the borders of words and of the text, narrower ones, and what stands between lost characters."""
     left, right = a, b
     while left and not text[left - 1].isspace():
         left -= 1
@@ -242,6 +243,8 @@ def _grow(text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
     outside = sum(c > "~" for c in text[:left]) + sum(c > "~" for c in text[right:])
     spans = [(0, len(text))] if outside == 0 else []
     spans += [(left, right), (wide_l, wide_r), (a, b), (wide_l, min(wide_r + 1, len(text))), (a + 1, b)]
+    if "\ufffd" in text[left:right]:
+        spans += [(left + m.start(), left + m.end()) for m in _KEPT.finditer(text[left:right])]
     yield from (s for s in dict.fromkeys(spans) if s[1] > s[0])
 
 
@@ -258,6 +261,11 @@ def _allowed(piece: str, got: str, left: str, right: str, open_quote: bool, utf8
     return start >= ODD and not wide_wrong and not _BROKEN_WORD.search(left + got + right)
 
 
+def _quoted(text: str, x: int) -> bool:
+    """Whether a quotation is open before ``text[x]``."""
+    return any(text.count(o, 0, x) > text.count(c, 0, x) for o, c in ("“”", "‘’", "«»"))
+
+
 def _repair_span(text: str, x: int, y: int, cost: GarblingCost) -> str | None:
     """The strict round trip of ``text[x:y]`` that surprises least, if it does so by much less.
 
@@ -269,7 +277,7 @@ def _repair_span(text: str, x: int, y: int, cost: GarblingCost) -> str | None:
     if start < HONEST:
         return None
     wide = sum(c > "~" for c in text[x:y])
-    quoted = any(text.count(o, 0, x) > text.count(c, 0, x) for o, c in ("“”", "‘’", "«»"))
+    quoted = _quoted(text, x)
     best, best_cost = None, start - DROP
     frontier, bonus = [text[x:y]], 0.0
     for _ in range(LAYERS):
@@ -302,7 +310,7 @@ def _repair_span(text: str, x: int, y: int, cost: GarblingCost) -> str | None:
                     if utf8:
                         deeper.append(got)
                         break
-        frontier = [g for g in deeper if not g.isascii()][:3]
+        frontier = [g for g in deeper if not g.isascii()]
         bonus += UTF8_BONUS
         if not frontier:
             break
@@ -313,16 +321,30 @@ def repair(text: str, cost: GarblingCost) -> tuple[bool, str]:
     """Whether ``text`` is garbled, and the text with every stretch repaired that can be."""
     garbled = bool(_LOST.search(text))
     done = text
-    for _ in range(8):
-        for a, b in _stretches(done, cost):
-            fixed = None
-            for x, y in _grow(done, a, b):
-                if (fixed := _repair_span(done, x, y, cost)) is not None:
-                    break
-            if fixed is not None:
-                done, garbled = done[:x] + fixed + done[y:], True
+    hopeless: set[tuple] = set()  # spans with what their repair depends on
+    # Each pass repairs a wide character at least, and a stretch has LAYERS layers at most.
+    for _ in range(LAYERS * sum(c > "~" for c in text)):
+        spans = _stretches(done, cost)
+        shift, end, changed = 0, 0, False
+        for k, (a, b) in enumerate(spans):
+            a, b = a + shift, b + shift
+            if b <= end:
+                continue
+            for x, y in _grow(done, max(a, end), b):
+                if x < end:
+                    continue
+                key = (done[max(0, x - 1) : x], done[x:y], done[y : y + 1], _quoted(done, x))
+                if key in hopeless:
+                    continue
+                if (fixed := _repair_span(done, x, y, cost)) is None:
+                    hopeless.add(key)
+                    continue
+                done, changed, garbled = done[:x] + fixed + done[y:], True, True
+                shift, end = shift + len(fixed) - (y - x), x + len(fixed)
                 break
-        else:
+            if changed and k == 0:
+                break  # the one over all of them: the rest is found anew
+        if not changed:
             break
     if not garbled:
         for a, b in _stretches(text, cost):

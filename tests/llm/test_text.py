@@ -177,3 +177,9 @@ def test_filler_is_told_by_its_words_at_any_length(spark):
     kept = [f"At school, {n} had failed the lesson on lorem ipsum, the printers' sham Latin, twice." for n in ("Ilvane", "Nima", "Orrin")] + ["The spell began with velim odarat, and Ketter feared the quessa that must follow.", "The lesson at school was long and the printers had failed."]
     df = spark.createDataFrame(list(enumerate([*long, *kept, None, ""])), "doc_id long, text string")
     assert sorted({r.doc_id for r in residue.find_residue(df).collect()}) == list(range(len(long)))
+
+
+def test_repair_mends_every_stretch(cost):
+    text = "El guardián guardó el mapa en la caja grande, señora. " * 20
+    found, fixed = encoding.repair(encoding.garble(text, "utf-8", "cp1252") + "� " + encoding.garble(text, "utf-8", "cp1252"), cost)
+    assert found and fixed == text + "� " + text
