@@ -1,19 +1,17 @@
-"""SimHash signatures and the near-duplicate join over partitioned tables of them."""
+"""Shingles of texts, their SimHash signatures, and the near-duplicate join over the rarest shingles."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SHINGLE_CHARS = 4
-BLOCKS = 8  # of 8 bits each
-HAMMING = 6  # at most; 2 of 8 blocks are then untouched, so the tables lose no pair
+HAMMING = 18  # signatures of texts that are 0.8 similar seldom differ in more bits; the join asks for no such bound, as any loses pairs
 
 
 def shingles(text: str) -> set[str]:
@@ -36,11 +34,13 @@ def _signature(text: str) -> int:
     return int(np.packbits(2 * bits > len(h), bitorder="little").view(np.int64)[0])
 
 
-@F.pandas_udf(T.LongType())
-def simhash(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """64-bit SimHash of character shingles; null for null."""
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def shingle_ids(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Distinct hashes of the character shingles; null for null."""
+    import xxhash
+
     for s in texts:
-        yield pd.Series([None if t is None else _signature(t) for t in s], dtype="Int64")
+        yield pd.Series([None if t is None else list({xxhash.xxh64_intdigest(x) - (1 << 63) for x in shingles(t)}) for t in s], dtype="object")
 
 
 @F.pandas_udf(T.DoubleType())
@@ -49,39 +49,30 @@ def text_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([similarity(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-def _tables(sig: Column) -> Column:
-    """One key a table: the table's number and the bits of its two blocks."""
-
-    def block(i: int) -> Column:
-        return F.shiftrightunsigned(sig, 8 * i).bitwiseAND(F.lit(255))
-
-    return F.array(*(F.lit(n << 16) + F.shiftleft(block(i), 8) + block(j) for n, (i, j) in enumerate(combinations(range(BLOCKS), 2))))
-
-
 def near_duplicates(units: DataFrame, least: float = 0.8) -> DataFrame:
-    """Pairs (a, b), a < b, of distinct texts within ``HAMMING`` bits and at least ``least`` similar.
+    """Pairs (a, b), a < b, of distinct texts at least ``least`` similar: all of them.
 
     ``units``: (id BIGINT, text STRING and, if only texts of one source may meet, source),
-    texts distinct in their source.  Each of the 28 tables holds the
-    texts by two of their eight blocks; texts meet only there, and only if their lengths
-    allow the similarity.  Candidates are checked by Hamming distance in the join and by
-    text similarity after it, each pair once.
+    texts distinct in their source.  Two sets of shingles that are so similar share one of
+    the first ``n - least * n + 1`` of each, in any common order; with the rarest first
+    (of a source) few texts meet.  Candidates whose sizes allow the similarity are
+    checked by text similarity, each pair once.
     """
     source = F.col("source") if "source" in units.columns else F.lit(None).cast("string")
-    rows = (
-        units.where("text is not null")
-        .select("id", source.alias("source"), F.length("text").alias("n"), simhash("text").alias("sig"))
-        .withColumn("key", F.explode(_tables(F.col("sig"))))
-    )
+    held = units.where("text is not null").select("id", F.coalesce(F.concat(F.lit("="), source), F.lit("")).alias("source"), F.explode(shingle_ids("text")).alias("key"))
+    counts = held.groupBy("source", "key").agg(F.count(F.lit(1)).alias("_in")).where("_in > 1")
+    # Shingles of one text only pair nothing: they are first in the order and count, but needn't be kept.
+    ranked = held.join(counts, ["source", "key"], "left").groupBy("source", "id").agg(F.count(F.lit(1)).alias("n"), F.count("_in").alias("_shared"), F.array_sort(F.collect_list(F.when(F.col("_in").isNotNull(), F.struct("_in", "key")))).alias("_keys"))
+    first = (F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1 - (F.col("n") - F.col("_shared"))).cast("int")
+    rows = ranked.where(first > 0).select("id", "source", "n", F.explode(F.slice("_keys", F.lit(1), first)).alias("key")).select("id", "source", "n", F.col("key.key").alias("key"))
     a, b = rows.alias("x"), rows.alias("y")
     met = a.join(
         b,
         (F.col("x.key") == F.col("y.key"))
-        & F.col("x.source").eqNullSafe(F.col("y.source"))
+        & (F.col("x.source") == F.col("y.source"))
         & (F.col("x.id") < F.col("y.id"))
-        & (F.col("x.n") * least <= F.col("y.n"))
-        & (F.col("y.n") * least <= F.col("x.n"))
-        & (F.bit_count(F.col("x.sig").bitwiseXOR(F.col("y.sig"))) <= HAMMING),
+        & (F.col("x.n") * least <= F.col("y.n") + 1e-9)
+        & (F.col("y.n") * least <= F.col("x.n") + 1e-9),
     ).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     texts = units.select("id", "text")
     return (

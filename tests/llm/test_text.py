@@ -183,3 +183,19 @@ def test_repair_mends_every_stretch(cost):
     text = "El guardián guardó el mapa en la caja grande, señora. " * 20
     found, fixed = encoding.repair(encoding.garble(text, "utf-8", "cp1252") + "� " + encoding.garble(text, "utf-8", "cp1252"), cost)
     assert found and fixed == text + "� " + text
+
+
+def test_near_duplicates_by_brute_force(spark):
+    dice = random.Random(9)
+    words = [f"{a}{b}{c}" for a in "bdgkst" for b in ("ar", "el", "im", "on") for c in ("na", "ro", "te")]
+    texts = {"ab", "abcd", "abcde", "abcdef"}
+    for _ in range(25):
+        line = [dice.choice(words) for _ in range(dice.randint(8, 40))]
+        texts.add(" ".join(line))
+        for n in (1, 1, 2, 3):
+            texts.add(" ".join(dice.choice(words) if i in dice.sample(range(len(line)), n) else w for i, w in enumerate(line)))
+    texts = sorted(texts)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(-1, None)], "id long, text string")
+    got = [(r.a, r.b) for r in simhash.near_duplicates(df).collect()]
+    want = {(a, b) for b in range(len(texts)) for a in range(b) if simhash.similarity(texts[a], texts[b]) >= 0.8}
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 30
