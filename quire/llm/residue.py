@@ -1,11 +1,9 @@
 """Problem 9: documents that show the machinery of a site in place of text.
 
-Method: lines that could be machinery are masked (digits, ids, placeholders) and reduced
-to distinct forms; near-duplicate forms are found with partitioned SimHash tables,
-verified by Hamming distance and text similarity, and joined to components.  Labels of
-trusted forms (whole-line patterns that no prose has) spread through the components.
-An exact check then takes out prose: a quotation, a sentence that goes on around the
-sign, a narrated name.
+Method: lines that could be machinery are masked (digits, ids, placeholders).  Labels of
+trusted forms (whole-line patterns that no prose has) spread to near-duplicates among the
+masked lines of all documents, by text similarity, until no form is new.  An exact check
+then takes out prose: a quotation, a sentence that goes on around the sign, a narrated name.
 
 Filler is told by its words, at any length: those of the printers' text and those that
 the corpus has mostly where a line opens with it.
@@ -21,8 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.components import connected_components
-from quire.llm.simhash import near_duplicates
+from quire.llm.simhash import Neighbours, shingles
 from quire.session import cut_lineage, load
 
 _NAME = r"[A-Za-z][\w.]*(?: ?\| ?\w+)?"
@@ -41,16 +38,22 @@ _SCRIPTS = r"""(?:enable|turn on|activate) javascript|javascript is disabled|use
 _FILLER = r"""lorem ipsum dolor|dolor sit amet|text goes here|type your chapter|paste chapter text|sample post|placeholder|здесь будет текст|正文待补充|ここに本文|본문을 입력|(?:xxxx ?){1,}|(?:test ){2,}.*|(?:asdf ?){2,}.*|\[object object\]|undefined|nan(?: / null)?|null"""
 _STATUS = r"""(?:error|http) [45]\d\d\b.{0,60}|[45]\d\d [a-z][a-z '’-]{2,60}|.{0,60}\((?:code|error|错误代码|오류|ошибка) ?\d+.*|whoops!.*\[\d+\]"""
 
-# Literals of which a line that could be machinery has at least one: wider than what is trusted.
-_SIGNS = ["JavaScript", "javascript", "script", "error", "Error", "ERROR", "шибк", "エラー", "错误", "오류", "Fehler", "erreur", "Erreur", "orem ipsum", "dolor sit", "rowser", "erver", "HTTP ", "ateway", "orbidden", "ot Found", "ot found", "imed out", "ops!", "TODO", "test test", "asdf", "session has", "etry", "navailable", "ot available", "aintenance", "ccess denied", "xceeded", "imited", "ogin required", "ould not", "hapter removed", "ermission", "Loading", "Checking", "Traceback", "race: ", "nicht gefunden", "ntrouvable", "ncontrada", "no existe", "не найден", "不存在", "繁忙", "启用", "有効", "見つかりません", "켜야", "찾을 수 없", "غير موجود", "không tìm thấy", "ไม่พบ", "goes here", "our chapter here", "ample post", "laceholder", "xxxx", "undefined", "NaN", "[object", "будет текст", "待补", "ここに", "본문을", "(code ", "locked by", "<h1>", "can't be found", "les scripts", "null"]
+# Literals in lower case; a trusted line has at least one, or the signs of weak().
+_SIGNS = ["script", "error", "шибк", "エラー", "错误", "오류", "fehler", "erreur", "orem ipsum", "dolor sit", "rowser", "erver", "http ", "ateway", "orbidden", "ot found", "imed out", "ops!", "todo", "test test", "asdf", "session has", "etry", "navailable", "ot available", "aintenance", "ccess denied", "xceeded", "imited", "ogin required", "ould not", "hapter removed", "ermission", "loading", "checking", "traceback", "race: ", "nicht gefunden", "ntrouvable", "ncontrada", "no existe", "не найден", "不存在", "繁忙", "启用", "有効", "見つかりません", "켜야", "찾을 수 없", "غير موجود", "không tìm thấy", "ไม่พบ", "goes here", "our chapter here", "ample post", "laceholder", "xxxx", "undefined", "[object", "будет текст", "待补", "ここに", "본문을", "locked by", "<h1>", "null", "too many requests", "reader is down", "t be found", "your chapter", "paste chapter", "(code", "자바스크립트", "establishing a database"]
 
 
 def weak(text: Column) -> Column:
-    """Whether a text could hold machinery: literals and one expression with a rare first sign, so that it is cheap."""
-    by_sign = text.contains(_SIGNS[0])
-    for sign in _SIGNS[1:]:
-        by_sign = by_sign | text.contains(sign)
-    return by_sign | text.rlike(rf"[{{<\[@_$#&%(](?<=(?=(?:{PLACEHOLDER})).)") | text.rlike(r"(?m)^[45]\d\d [A-Z]")
+    """Whether a text could hold machinery, in any case of letters: every trusted line is weak, and so is a text that holds it."""
+
+    def signs(low: Column) -> Column:
+        by_sign = low.contains(_SIGNS[0])
+        for sign in _SIGNS[1:]:
+            by_sign = by_sign | low.contains(sign)
+        return by_sign
+
+    # As an array's element the lower case is made once, not once a sign.
+    by_sign = F.exists(F.array(F.lower(text)), signs)
+    return by_sign | text.rlike(rf"[{{<\[@_$#&%(](?<=(?=(?:{PLACEHOLDER})).)") | text.rlike(r"[45]\d\d [a-zA-Z]") | text.rlike(r"(?im)(?:^|>)[^\p{L}\d\n]*nan\b")
 
 
 _PROSE = r"""^[“"«„「‘'—–].*[”"»“」’'].*\p{L}{2}|[“"«„「].{3,}[”"»“」]|\b(?:he|she|they)\b .*\b(?:said|had|was|wrote|typed)\b|^\[(?:System|STATUS)"""
@@ -147,6 +150,34 @@ def prose(line: Column) -> Column:
     return line.rlike(_PROSE) & ~line.rlike(PLACEHOLDER)
 
 
+def neighbours(docs: DataFrame, key: str, targets: set[str], known: set[str], least: float) -> DataFrame:
+    """Lines, of all lines that aren't prose, whose form is ``least`` similar to a target and not known: (key, line, form).
+
+    The targets, masked forms of short lines, are few, so each task has them all.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast((sorted(targets), known))
+    lines = (
+        docs.where("text is not null")
+        .select(key, F.explode(F.split("text", r"[\n\r\u0085\u2028\u2029]+")).alias("line"))
+        .select(key, _clean(F.col("line")).alias("line"))
+        .withColumn("form", masked(F.col("line")))
+        # Sets of shingles of such sizes; repeats make a text longer than its set, never shorter.
+        .where(F.length("form") >= least * min(len(shingles(t)) for t in targets))
+    )
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        texts, done = sent.value
+        index = None
+        for pdf in batches:
+            if index is None:
+                index = Neighbours(texts, least, pdf["form"])
+            kept = [f not in done and index.has(f) for f in pdf["form"]]
+            if any(kept):
+                yield pdf[kept]
+
+    return lines.mapInPandas(near, lines.schema).where(~F.coalesce(prose(F.col("line")), F.lit(False)))
+
+
 def find_residue(docs: DataFrame, key: str = "doc_id", least: float = 0.8) -> DataFrame:
     """Residue lines of documents: (key, line, how): ``trusted``, or ``spread`` from a near-duplicate.
 
@@ -163,18 +194,15 @@ def find_residue(docs: DataFrame, key: str = "doc_id", least: float = 0.8) -> Da
         .withColumn("_prose", F.coalesce(prose(F.col("line")), F.lit(False)))
         .withColumn("_trusted", F.coalesce(trusted(F.col("line")), F.lit(False)))
     )
-    lines = cut_lineage(lines)  # few, and read three times: the documents are searched once
-    forms = lines.groupBy("form").agg(F.max("_trusted").alias("_trusted")).withColumn("id", F.xxhash64("form"))
-    pairs = near_duplicates(forms.select("id", F.col("form").alias("text")), least)
-    member = connected_components(pairs)
-    labelled = forms.join(member, forms.id == member.node, "left").withColumn("component", F.coalesce("component", "id"))
-    hot = labelled.where("_trusted").select("component").distinct()
-    marked = labelled.join(hot, "component").select("form")
-    found = (
-        lines.join(marked, "form")
-        .where("_trusted or not _prose")
-        .select(key, "line", F.when(F.col("_trusted"), "trusted").otherwise("spread").alias("how"))
-    )
+    lines = cut_lineage(lines.where("_trusted"))  # few, and read twice: the documents are searched once
+    found = lines.select(key, "line", F.lit("trusted").alias("how"))
+    known: set[str] = set()
+    fresh = {r[0] for r in lines.select("form").distinct().collect()}
+    while fresh:  # neighbours of neighbours: until a pass over the documents labels no new form
+        known |= fresh
+        near = cut_lineage(neighbours(docs, key, fresh, known, least))
+        found = found.union(near.select(key, "line", F.lit("spread").alias("how")))
+        fresh = {r[0] for r in near.select("form").distinct().collect()}
     return found.union(filler_lines(docs, key).withColumn("how", F.lit("trusted"))).distinct()
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,6 +28,33 @@ def similarity(a: str, b: str) -> float:
     return len(x & y) / len(x | y)
 
 
+class Neighbours:
+    """Few texts, to tell for any other whether one of them is ``least`` similar: exactly.
+
+    Of a target's shingles any ``n - least * n + 1`` hold one of each text so similar to it;
+    those that are rare among ``others`` are taken, which only matters for speed.
+    """
+
+    def __init__(self, targets: Iterable[str], least: float, others: Iterable[str] = ()) -> None:
+        seen: Counter[str] = Counter()
+        for text in others:
+            seen.update(shingles(text))
+        self.least, self.sets, self.index = least, [shingles(t) for t in targets], {}
+        for i, held in enumerate(self.sets):
+            n = len(held) - math.ceil(least * len(held) - 1e-9) + 1
+            for s in sorted(held, key=lambda s: (seen[s], s))[:n]:
+                self.index.setdefault(s, []).append(i)
+
+    def has(self, text: str) -> bool:
+        held = shingles(text)
+        for i in {i for s in held & self.index.keys() for i in self.index[s]}:
+            other = self.sets[i]
+            both = len(held & other) if min(len(held), len(other)) >= self.least * max(len(held), len(other)) - 1e-9 else 0
+            if both and both / (len(held) + len(other) - both) >= self.least:
+                return True
+        return False
+
+
 def _signature(text: str) -> int:
     import xxhash
 

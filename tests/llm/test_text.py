@@ -199,3 +199,13 @@ def test_near_duplicates_by_brute_force(spark):
     got = [(r.a, r.b) for r in simhash.near_duplicates(df).collect()]
     want = {(a, b) for b in range(len(texts)) for a in range(b) if simhash.similarity(texts[a], texts[b]) >= 0.8}
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 30
+
+
+def test_trusted_lines_pass_the_prefilter_and_labels_reach_any_line(spark):
+    lines = ["Too many requests.", "The reader is down.", "Paste chapter text", "Không tìm thấy trang", "FORBIDDEN", "BAD GATEWAY", "Your Session Has Expired", "NaN", "nan / null", "<p>503 quota</p>", "[404 gone away]", "that page can’t be found", "Whoops! It broke [12]", "(CODE 12)", "HTTP 500", "자바스크립트를 켜 주세요"]
+    df = spark.createDataFrame([(x,) for x in lines], "line string").select("line", residue.weak(F.col("line")).alias("weak"), residue.trusted(residue._clean(F.col("line"))).alias("trusted"))
+    assert [r.line for r in df.collect() if not (r.weak and r.trusted)] == []
+    base = "The requested chapter 12 could not be found in the library of this old house"
+    docs = [(1, base), (2, base.replace("could", "kould")), (3, base.replace("could", "kould").replace("old house", "odd hoose")), (4, "A story of an old house and its library, with rain.")]
+    found = {r.doc_id: r.how for r in residue.find_residue(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert found == {1: "trusted", 2: "spread", 3: "spread"}
