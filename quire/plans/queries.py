@@ -251,7 +251,7 @@ def page_parts(spark: SparkSession, d: str) -> DataFrame:
  QUALIFY i > 0"""
 )
 def slice_between_anchors(spark: SparkSession, d: str) -> DataFrame:
-    """Slices from heading to heading, the last to the end of the body."""
+    """S5, S8, W2, and of H12 to H14 the flat pages only: slices from heading to heading, the last to the end of the body."""
     h = F.substring(F.col("html"), F.lit(1), H.body_end(F.col("html")))
     cut = pages(spark, d).select("doc_id", F.posexplode(F.split(h, '(?=<h1 id="calibre_link-)')).alias("i", "piece")).withColumn("n", F.length("piece").cast("bigint"))
     end = F.sum("n").over(Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
@@ -294,7 +294,7 @@ def fixed_chunks(spark: SparkSession, d: str) -> DataFrame:
  LEFT JOIN (SELECT doc_id, sec, string_agg(text, chr(10) ORDER BY p) AS body FROM {PARAGRAPHS} GROUP BY doc_id, sec) b ON c.doc_id = b.doc_id AND c.sec = b.sec GROUP BY c.doc_id, c.chunk_no, f.novel"""
 )
 def split_files(spark: SparkSession, d: str) -> DataFrame:
-    """The text of each split file, built chunk by chunk."""
+    """The text of each split file, built chunk by chunk."""
     rows = W.chunks(sections(spark, d).withColumn("pos", F.col("sec").cast("bigint")), ["doc_id"], "pos", 5)
     body = paragraphs(spark, d).groupBy("doc_id", "sec").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "text"))), lambda x: x["text"]), "\n").alias("body"))
     part = F.concat(F.lit("<h1>"), F.coalesce("title", F.lit("")), F.lit("</h1>"), F.coalesce("body", F.lit("")))
