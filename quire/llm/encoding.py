@@ -203,10 +203,17 @@ class GarblingCost:
     def peaks(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Highest sum over neighbouring characters in each text."""
         run = np.cumsum(np.maximum(self.of(codes), -4).astype(np.float64))
-        sums = run.copy()
-        sums[WINDOW:] -= run[:-WINDOW]
+        # A window ends at the start of its text, so a text has the same peak in any batch.
+        first = np.repeat(starts, np.diff(np.append(starts, len(codes))))
+        run = np.concatenate([[0.0], run])
+        sums = run[1:] - run[np.maximum(np.arange(len(codes)) + 1 - WINDOW, first)]
         return np.maximum.reduceat(sums, starts)
 
+    def suspects(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Whether each text is to be taken apart: a high peak or a lost character.  One test for problems 3 and 6."""
+        lost = np.maximum.reduceat(((codes >= 0x80) & (codes < 0xA0)) | (codes == 0xFFFD), starts)
+        return (self.peaks(codes, starts) >= SUSPECT) | lost
+
 
 _WORD_GAP = 6
 
@@ -375,8 +382,7 @@ def repair_texts(df: DataFrame, cost: "Broadcast[GarblingCost]", text: str = "te
             if not texts:
                 continue
             codes, starts = code_points(texts)
-            lost = np.maximum.reduceat(((codes >= 0x80) & (codes < 0xA0)) | (codes == 0xFFFD), starts)
-            suspects = np.flatnonzero((model.peaks(codes, starts) >= SUSPECT) | lost)
+            suspects = np.flatnonzero(model.suspects(codes, starts))
             kept, fixed = [], []
             for i in suspects.tolist():
                 garbled, done = repair(texts[i], model)

@@ -169,9 +169,10 @@ def scan(df: DataFrame, cost: Broadcast[GarblingCost] | None = None, text: str =
             hits = np.flatnonzero(np.logical_or.reduceat(suspicious(codes), starts)).tolist()
             made = [ordinary(texts[i]) for i in hits]
             kept = [(i, m) for i, m in zip(hits, made) if m != texts[i]]
-            bad = [bool(cost) and repair(texts[i], cost.value)[0] for i, _ in kept]
             if not kept:
                 continue
+            tried = cost.value.suspects(codes, starts) if cost else None
+            bad = [bool(cost) and bool(tried[i]) and repair(texts[i], cost.value)[0] for i, _ in kept]
             yield pdf.iloc[[i for i, _ in kept]].assign(mapped=[m for _, m in kept], garbled=bad)
 
     wide = df.where(F.octet_length(text) != F.char_length(text))

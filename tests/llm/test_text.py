@@ -209,3 +209,13 @@ def test_trusted_lines_pass_the_prefilter_and_labels_reach_any_line(spark):
     docs = [(1, base), (2, base.replace("could", "kould")), (3, base.replace("could", "kould").replace("old house", "odd hoose")), (4, "A story of an old house and its library, with rain.")]
     found = {r.doc_id: r.how for r in residue.find_residue(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert found == {1: "trusted", 2: "spread", 3: "spread"}
+
+
+def test_problem_6_leaves_out_what_problem_3_reports(spark, cost):
+    texts = [t.replace(" ", " ", 1) for t in BASE if " " in t] + [encoding.garble(BASE[0], "utf-8", "cp1252"), "lost � sign"]
+    alone = [bool(cost.suspects(*encoding.code_points([t]))[0]) for t in texts]
+    assert cost.suspects(*encoding.code_points(texts)).tolist() == alone and not all(alone) and any(alone)
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    shared = spark.sparkContext.broadcast(cost)
+    found = {r.id for r in encoding.repair_texts(df, shared).collect()}
+    assert {r.id for r in lookalike.scan(df, shared).where("garbled").collect()} <= found
