@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SPACE = r"[\s\p{Z}\x1c-\x1f\x{85}]"
+_BLANKS = r"\s\p{Z}\x1c-\x1f\x{85}"
+SPACE = f"[{_BLANKS}]"
+DECORATION = rf"^[~\-*=`{_BLANKS}]+$"  # one class, no group: a group recurses once a character
 # C1 characters that leak from Windows-1252 and what they stand for.
 LEAKED, MEANT = "\u0093\u0094\u0091\u0092\u0096\u0097\u0085", "“”‘’–—…"
 
@@ -22,7 +24,7 @@ def strip(text: Column) -> Column:
 
 def is_story(text: Column) -> Column:
     """Not empty, not decoration only, not a numbered line.  Null is not."""
-    return F.coalesce((text != "") & ~text.rlike(rf"^(?:[~\-*=`]|{SPACE})+$") & ~text.rlike(rf"^\p{{Nd}}+\.{SPACE}"), F.lit(False))
+    return F.coalesce((text != "") & ~text.rlike(DECORATION) & ~text.rlike(rf"^\p{{Nd}}+\.{SPACE}"), F.lit(False))
 
 
 def first_group(text: Column, pattern: str, group: int = 1) -> Column:

@@ -41,7 +41,7 @@ SPACE = S.SPACE
 PARAGRAPHS = "(SELECT DISTINCT doc_id, sec, p, text FROM paragraphs WHERE text IS NOT NULL)"
 SECTIONS = "(SELECT doc_id, sec, min(link_id) AS link_id, min(title) AS title, min(chapter) AS chapter FROM sections GROUP BY doc_id, sec)"
 TOC = "(SELECT DISTINCT ref_id, doc_id, pos, link_id, title, li_html FROM toc)"
-KEPT = rf"(text <> '' AND NOT regexp_matches(text, '^(?:[~\-*=`]|{SPACE})+$') AND NOT regexp_matches(text, '^\p{{Nd}}+\.{SPACE}'))"
+KEPT = rf"(text <> '' AND NOT regexp_matches(text, '{S.DECORATION}') AND NOT regexp_matches(text, '^\p{{Nd}}+\.{SPACE}'))"
 INTEGER = "try_cast(nullif({}, '') AS BIGINT)"
 
 

@@ -188,3 +188,8 @@ def test_orphans_follow_time_spans(spark):
     assert sorted(r.ref_id for r in R.orphan_references(df, files, sections).collect()) == [1, 3, 5, 6, 7, 8, 9]
     assert R.orphan_references(df.limit(0), files, sections).count() == 0
     assert R.orphan_references(df, files.limit(0), sections.limit(0)).count() == len(refs)
+
+
+def test_story_filter_takes_very_long_decoration(spark):
+    df = spark.createDataFrame([("*" * 100_000,), ("* 　" * 50_000,), ("*" * 100_000 + "x",)], "t string")
+    assert [len(r.t) for r in df.where(S.is_story(F.col("t"))).collect()] == [100_001]
