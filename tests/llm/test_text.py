@@ -235,8 +235,11 @@ def test_trusted_lines_are_weak_and_labels_reach_any_line(spark):
     search = residue._searcher(frozenset())
     for line in map(residue.clean, lines):
         assert residue.trusted(line) and residue.weak(line, line.lower(), any(True for _ in search.iter(line.lower()))), line
-    base = "The requested chapter 12 could not be found in the library of this old house"
-    docs = [(1, base), (2, base.replace("could", "kould")), (3, base.replace("could", "kould").replace("old house", "odd hoose")), (4, "A story of an old house and its library, with rain.")]
+    base = "The requested chapter 12 could not be found in the library of this old house, and nobody who keeps its long shelves can tell where it went"
+    near = base.replace("could", "kould").replace("library", "libbary").replace("nobody", "nobuddy")
+    far = near.replace("house", "hoose").replace("shelves", "shelfes").replace("went", "whent")
+    assert simhash.similarity(base, far) < 0.8 < min(simhash.similarity(base, near), simhash.similarity(near, far))
+    docs = [(1, base), (2, near), (3, far), (4, "A story of an old house and its library, with rain.")]
     found = {r.doc_id: (r.how, r["class"]) for r in residue.find_residue(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert {k: how for k, (how, _) in found.items()} == {1: "trusted", 2: "spread", 3: "spread"} and len({c for _, c in found.values()}) == 1
 
