@@ -108,14 +108,12 @@ def weak(line: str, low: str, signed: bool) -> bool:
 
 @lru_cache(maxsize=4)
 def _searcher(words: frozenset[str]):
-    """Aho-Corasick automaton of the literals (True) and of words that may be filler's (False)."""
+    """Aho-Corasick automaton of the literals (1), of words that may be filler's (2) and of what is both (3)."""
     import ahocorasick
 
     found = ahocorasick.Automaton()
-    for w in words:
-        found.add_word(w, False)
-    for s in _SIGNS:
-        found.add_word(s, True)
+    for w in words.union(_SIGNS):
+        found.add_word(w, (w in _SIGNS) + 2 * (w in words))
     found.make_automaton()
     return found
 
@@ -155,11 +153,11 @@ def signed_lines(docs: DataFrame, words: frozenset[str], key: str = "doc_id") ->
                     low = line.lower()
                     kinds = {kind for _, kind in search(low)}
                     held, n = None, None
-                    if False in kinds:
+                    if kinds and max(kinds) > 1:
                         own = _LETTERS.findall(low)
                         held, n = [w for w in own if w in known], len(own)
                     form = masked(line)
-                    rows.append((k, xxhash.xxh3_128_hexdigest(form), form, weak(line, low, True in kinds) and trusted(line), held, n))
+                    rows.append((k, xxhash.xxh3_128_hexdigest(form), form, weak(line, low, bool(kinds & {1, 3})) and trusted(line), held, n))
             if rows:
                 out = pd.DataFrame(rows, columns=[key, "id", "form", "trusted", "held", "n_words"])
                 out["n_words"] = out["n_words"].astype("Int32")
