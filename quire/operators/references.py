@@ -1,7 +1,8 @@
 """Problem 4: references to files and chapters that do not exist (at the time they were seen).
 
 Method: a broadcast Bloom filter of the parents' keys proves definite orphans; only
-references that pass it are verified by exact join, with the parents' time spans.
+references that pass it are verified by exact join, with the parents' time spans.  Each
+reference is resolved and probed once; what is known of it then is kept as a table.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import paths
 from quire.operators import bloom
-from quire.session import load
+from quire.session import load, written
 
 WRAPPER = "calibre_link-0"
 
@@ -52,7 +53,7 @@ def _there(t: Column, start: Column, end: Column) -> Column:
     return F.coalesce((start <= t) & (end.isNull() | (end > t)), F.lit(False))
 
 
-def orphan_references(refs: DataFrame, files: DataFrame, sections: DataFrame, max_filter_mb: int = 32) -> DataFrame:
+def orphan_references(refs: DataFrame, files: DataFrame, sections: DataFrame, filter_mb: int = bloom.BROADCAST_MB) -> DataFrame:
     """References of ``refs`` whose parent is not there at their time: (ref_table, ref_id, t, reason).
 
     ``reason`` is ``never`` where the Bloom filter proves that no such file or chapter
@@ -60,36 +61,39 @@ def orphan_references(refs: DataFrame, files: DataFrame, sections: DataFrame, ma
     A reference without a time or without a path is an orphan.  Removed and returning
     chapters have a span each; one that holds the moment is enough.
     """
-    spans = files.select("path", F.col("doc_id").alias("_doc"), F.col("fetched_at").alias("_from"), F.col("removed_at").alias("_to")).distinct()
+    spans = files.select("path", F.col("doc_id").alias("_doc"), F.col("fetched_at").alias("_from"), F.col("removed_at").alias("_to"), F.lit(True).alias("_row")).distinct()
     stays = sections.select(F.col("doc_id").alias("_sdoc"), F.col("link_id").alias("_slink"), F.col("added_at").alias("_since"), F.col("removed_at").alias("_until")).distinct()
     need = F.when(F.col("link").isNotNull() & (F.col("link") != WRAPPER), F.col("link"))
 
-    n_files, n_stays = bloom.blocks_for(files.count(), max_mb=max_filter_mb), bloom.blocks_for(sections.count(), max_mb=max_filter_mb)
+    n_files, n_stays = bloom.blocks_for(files.count()), bloom.blocks_for(sections.count())
     file_filter = bloom.build(files.select("path"), F.col("path"), n_files)
     chapter_key = F.concat_ws("#", F.col("_sdoc").cast("string"), F.col("_slink"))
     chapter_filter = bloom.build(stays.where("_sdoc is not null and _slink is not null"), chapter_key, n_stays)
 
-    tested = bloom.probe(refs.withColumn("_link", need), F.col("path"), file_filter, n_files, "_maybe")
     key = ["ref_table", "ref_id", "t"]
+    tested = bloom.probe(refs.withColumn("_link", need), F.col("path"), file_filter, n_files, "_maybe", filter_mb)
+    tested = written(tested.select(*key, "path", "_link", "_maybe"))
+    proven = tested.where("not _maybe").select(*key, F.lit("never").alias("reason"))
     held = (
         tested.where("_maybe")
-        .join(spans, "path")
+        .join(spans, "path", "left")
+        .withColumn("_known_file", F.coalesce("_row", F.lit(False)))
         .withColumn("_held", _there(F.col("t"), F.col("_from"), F.col("_to")))
         .withColumn("_chapter", F.when(F.col("_held"), F.col("_link")))
     )
-    seen = bloom.probe(held, F.concat_ws("#", F.col("_doc").cast("string"), F.col("_chapter")), chapter_filter, n_stays, "_known")
-    kept = [*key, "_held", "_chapter"]
+    seen = bloom.probe(held, F.concat_ws("#", F.col("_doc").cast("string"), F.col("_chapter")), chapter_filter, n_stays, "_known", filter_mb)
+    seen = written(seen.select(*key, "_doc", "_known_file", "_held", "_chapter", "_known"))
     # Only chapters that the filter lets pass meet the sections; the rest is decided already.
-    by_file = seen.where("_chapter is null or not _known").select(*kept, (F.col("_held") & F.col("_chapter").isNull()).alias("_ok"))
+    asked = F.col("_chapter").isNotNull() & F.col("_known")
+    by_file = seen.where(~asked).select(*key, "_known_file", (F.col("_held") & F.col("_chapter").isNull()).alias("_ok"))
     by_chapter = (
-        seen.where("_chapter is not null and _known")
+        seen.where(asked)
         .join(stays, (F.col("_doc") == F.col("_sdoc")) & (F.col("_chapter") == F.col("_slink")), "left")
-        .select(*kept, _there(F.col("t"), F.col("_since"), F.col("_until")).alias("_ok"))
+        .select(*key, "_known_file", _there(F.col("t"), F.col("_since"), F.col("_until")).alias("_ok"))
     )
-    passed = by_file.unionByName(by_chapter).groupBy(*key).agg(F.max("_ok").alias("_ok")).where("not _ok").select(*key, F.lit("not_then").alias("reason"))
-    unmatched = tested.where("_maybe").join(spans.select("path").distinct(), "path", "left_anti").select(*key, F.lit("never").alias("reason"))
-    proven = tested.where("not _maybe").select(*key, F.lit("never").alias("reason"))
-    return proven.unionByName(unmatched).unionByName(passed)
+    judged = by_file.unionByName(by_chapter).groupBy(*key).agg(F.max("_ok").alias("_ok"), F.max("_known_file").alias("_file"))
+    verified = judged.where("not _ok").select(*key, F.when(F.col("_file"), "not_then").otherwise("never").alias("reason"))
+    return proven.unionByName(verified)
 
 
 def _orphans(spark: SparkSession, d: str) -> DataFrame:

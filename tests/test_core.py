@@ -15,6 +15,7 @@ from quire.operators import library as L
 from quire.operators import references as R
 from quire.operators import structure as W
 from quire.plans.scan import running
+from quire.session import once
 from quire.sources import readers, writers
 
 
@@ -174,9 +175,12 @@ def test_bloom_filter_never_denies_a_parent(spark, present):
     blocks = bloom.blocks_for(max(1, len(present)))
     parents = spark.createDataFrame([(str(x),) for x in present] + [(None,)], "k string")
     refs = spark.createDataFrame([(str(x),) for x in range(520)] + [(None,)], "k string")
-    got = {r.k: r.maybe for r in bloom.probe(refs, F.col("k"), bloom.build(parents, F.col("k"), blocks), blocks, "maybe").collect()}
+    built = bloom.build(parents, F.col("k"), blocks)
+    got = {r.k: r.maybe for r in bloom.probe(refs, F.col("k"), built, blocks, "maybe").collect()}
     assert all(got[str(x)] for x in present) and got[None] is False
     assert sum(got[str(x)] for x in range(520)) - len(present) <= 40
+    shuffled = {r.k: r.maybe for r in bloom.probe(refs, F.col("k"), built, blocks, "maybe", broadcast_mb=0).collect()}
+    assert shuffled == got
 
 
 def test_orphans_follow_time_spans(spark):
@@ -193,3 +197,8 @@ def test_orphans_follow_time_spans(spark):
 def test_story_filter_takes_very_long_decoration(spark):
     df = spark.createDataFrame([("*" * 100_000,), ("* 　" * 50_000,), ("*" * 100_000 + "x",)], "t string")
     assert [len(r.t) for r in df.where(S.is_story(F.col("t"))).collect()] == [100_001]
+
+
+def test_once_drops_repeated_rows_only(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (None, None), (None, None), (2, None)], "k int, t string")
+    assert rows(once(df, ["k"])) == [(1, "a"), (1, "b"), (2, None), (None, None)] and once(df.limit(0), ["k"]).count() == 0
