@@ -5,12 +5,14 @@ encoding and strictly decoded as an intended one, layer by layer, and the result
 accepted where a garbling cost drops.
 
 The cost is learned: log odds of neighbouring characters between text as it stands in the
-corpus and the same text garbled on purpose under every pair of encodings.  It is fitted
-on a bounded sample of rows (``SAMPLE_ROWS``); every row of the corpus is scored.
+corpus and the same text garbled on purpose under every pair of encodings, fitted on a
+bounded sample of rows (``SAMPLE_ROWS``, of at most ``sample.LONGEST`` characters each), and
+how common neighbours are in the whole corpus, counted over all rows.  Every row is scored.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm.sample import sample_texts
-from quire.session import load
+from quire.session import load, written
 
 SAMPLE_ROWS = 20_000  # rows that the cost is fitted on
 BITS = 18  # of the hashed tables
@@ -147,7 +149,8 @@ class GarblingCost:
         return all(a + b in self.known for a, b in zip(text, text[1:]) if a > "\x7f" or b > "\x7f")
 
     @classmethod
-    def fit(cls, sample: list[str]) -> "GarblingCost":
+    def fit(cls, sample: list[str], counted: dict[str, int] | None = None, total_pairs: int = 0) -> "GarblingCost":
+        """Cost from ``sample``, with the corpus' counts of neighbours; without them, the sample's own."""
         size = 1 << BITS
         counts = np.zeros((4, size))
 
@@ -177,12 +180,13 @@ class GarblingCost:
             p = (good + 0.3) / (good.sum() + 0.3 * size)
             q = (bad + 0.3) / (bad.sum() + 0.3 * size)
             odds.append(np.clip(np.log(q / p), -8, 8).astype(np.float32))
-        seen: Counter[str] = Counter()
-        for t in honest:
-            t = _NUMBER.sub("0", t)
-            seen.update(two for two in map("".join, zip(t, t[1:])) if not two.isascii())
-        n = sum(seen.values())
-        return cls(*odds, {two: float(-np.log(k / n)) for two, k in seen.items()})
+        if counted is None:
+            seen: Counter[str] = Counter()
+            for t in honest:
+                t = _NUMBER.sub("0", t)
+                seen.update(two for two in map("".join, zip(t, t[1:])) if not two.isascii())
+            counted, total_pairs = seen, sum(seen.values())
+        return cls(*odds, {two: min(UNSEEN, float(-np.log(k / total_pairs))) for two, k in counted.items()})
 
     def of(self, codes: np.ndarray) -> np.ndarray:
         """Cost of each character; 0 for plain ASCII after plain ASCII."""
@@ -362,9 +366,34 @@ def repair(text: str, cost: GarblingCost) -> tuple[bool, str]:
     return garbled, done
 
 
+def count_neighbours(df: DataFrame, text: str = "text") -> tuple[dict[str, int], int]:
+    """How often each two neighbours that aren't both plain ASCII stand in all rows without lost characters, and how many there are.
+
+    Neighbours rarer than ``UNSEEN`` allows are left out, so at most exp(UNSEEN) are sent.
+    """
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            texts = [t for t in pdf[text] if not _LOST.search(t)]
+            if not texts:
+                continue
+            codes, _ = code_points(texts)
+            codes = np.where((codes >= 48) & (codes <= 57), 48, codes).astype(np.int64)
+            pairs = (codes[:-1] << 21) | codes[1:]
+            wide = ((codes[:-1] > 127) | (codes[1:] > 127)) & (codes[:-1] != 10) & (codes[1:] != 10)
+            found, n = np.unique(pairs[wide], return_counts=True)
+            yield pd.DataFrame({"two": found, "n": n})
+
+    wide = df.where(F.octet_length(text) != F.char_length(text)).select(text)
+    counts = written(wide.mapInPandas(count, "two long, n long").groupBy("two").agg(F.sum("n").alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    kept = counts.where(F.col("n") >= total * math.exp(-UNSEEN)).collect()
+    return {chr(r.two >> 21) + chr(r.two & 0x1FFFFF): r.n for r in kept}, total
+
+
 def fit_cost(df: DataFrame, text: str = "text", rows: int = SAMPLE_ROWS) -> GarblingCost:
-    """Garbling cost from a sample of at most ``rows`` distinct texts."""
-    return GarblingCost.fit([t[:2000] for t in sample_texts(df, text, rows)])
+    """Garbling cost from a sample of at most ``rows`` distinct texts and the neighbours in all of them."""
+    return GarblingCost.fit(sample_texts(df, text, rows), *count_neighbours(df, text))
 
 
 def repair_texts(df: DataFrame, cost: "Broadcast[GarblingCost]", text: str = "text") -> DataFrame:

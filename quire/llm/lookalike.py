@@ -2,7 +2,9 @@
 
 Method: values are mapped to their ordinary look, grouped by the mapped value under an
 accent-sensitive Unicode collation in SQL, and each class gets one deterministic member,
-which is joined back.
+which is joined back.  Classes are made of all rows, ordinary ones too.  A hash of the value
+without what the collation ignores is counted first, so that texts are shuffled and collated
+only where there are several spellings.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm.encoding import GarblingCost, code_points, fit_cost, repair, texts_and_titles
-from quire.session import cut_lineage
+from quire.session import small, written
 
 
 
@@ -71,6 +73,15 @@ _EMOJI = re.compile(f"[{_set('0023 002A 0030-0039 00A9 00AE 203C 2049 2122 2139
 _VIRAMA = re.compile(f"[{_set('094D 09CD 0A4D 0ACD 0B4D 0BCD 0C4D 0CCD 0D4D 0DCA')}]")
 
 
+# Characters that the collation ignores, and that ``ordinary`` may leave: controls and joiners.
+_IGNORED = re.compile(f"[{_INVISIBLE}{_set('0000-0008 000E-001F 007F-0084 0086-009F')}]")
+
+
+def core(text: str) -> str:
+    """What is left of a text without ignored characters, composed: equal for texts that the collation takes for equal."""
+    return unicodedata.normalize("NFC", _IGNORED.sub("", text))
+
+
 def _ghosts(m: re.Match) -> str:
     """Invisible characters are dropped, but for joiners and selectors that belong to what they follow."""
     text, kept = m.string, []
@@ -154,9 +165,10 @@ def suspicious(codes: np.ndarray) -> np.ndarray:
 
 
 def scan(df: DataFrame, cost: Broadcast[GarblingCost] | None = None, text: str = "text") -> DataFrame:
-    """Rows of ``df`` not in ordinary characters, with ``mapped`` and ``garbled``: one pass, tested in bulk.
+    """All non-null rows of ``df`` with ``mapped``, the text in ordinary characters, its ``core``, and ``garbled``: one pass, tested in bulk.
 
-    ``garbled`` tells whether the text was decoded wrongly; it is False without a ``cost``.
+    ``garbled`` tells whether the text was decoded wrongly; it is False without a ``cost``, and
+    where the text is in ordinary characters already, as nothing is done to it then.
     Plain ASCII rows stay in the JVM.
     """
 
@@ -166,42 +178,55 @@ def scan(df: DataFrame, cost: Broadcast[GarblingCost] | None = None, text: str =
             if not texts:
                 continue
             codes, starts = code_points(texts)
-            hits = np.flatnonzero(np.logical_or.reduceat(suspicious(codes), starts)).tolist()
-            made = [ordinary(texts[i]) for i in hits]
-            kept = [(i, m) for i, m in zip(hits, made) if m != texts[i]]
-            if not kept:
-                continue
-            tried = cost.value.suspects(codes, starts) if cost else None
-            bad = [bool(cost) and bool(tried[i]) and repair(texts[i], cost.value)[0] for i, _ in kept]
-            yield pdf.iloc[[i for i, _ in kept]].assign(mapped=[m for _, m in kept], garbled=bad)
+            mapped, bad = list(texts), [False] * len(texts)
+            tried = None
+            for i in np.flatnonzero(np.logical_or.reduceat(suspicious(codes), starts)).tolist():
+                mapped[i] = ordinary(texts[i])
+                if cost and mapped[i] != texts[i]:
+                    tried = cost.value.suspects(codes, starts) if tried is None else tried
+                    bad[i] = bool(tried[i]) and repair(texts[i], cost.value)[0]
+            yield pdf.assign(mapped=mapped, core=[core(m) for m in mapped], garbled=bad)
 
-    wide = df.where(F.octet_length(text) != F.char_length(text))
-    fields = [*wide.schema.fields, T.StructField("mapped", T.StringType()), T.StructField("garbled", T.BooleanType())]
-    return wide.mapInPandas(rows, T.StructType(fields))
+    plain = F.octet_length(text) == F.char_length(text)
+    fields = [*df.schema.fields, T.StructField("mapped", T.StringType()), T.StructField("core", T.StringType()), T.StructField("garbled", T.BooleanType())]
+    wide = df.where(~plain).mapInPandas(rows, T.StructType(fields))
+    return wide.unionByName(df.where(plain).withColumns({"mapped": F.col(text), "core": F.regexp_replace(text, r"[\x00-\x08\x0e-\x1f\x7f]", ""), "garbled": F.lit(False)}))
 
 
 def unify(df: DataFrame, cost: Broadcast[GarblingCost] | None = None, text: str = "text") -> DataFrame:
-    """Rows of ``df`` whose ``text`` is not in ordinary characters, with a column ``form``.
+    """Rows of ``df`` whose ``text`` is not its class' one form, with ``mapped`` and ``form``.
 
-    ``form`` is the canonical member of the row's class: texts are equal if their mapped
-    values are equal under accent-sensitive Unicode collation; the least mapped value in
-    binary order stands for all.  A text that is ordinary already is its own form and has
-    no row here.  Null and empty texts have none, nor, with a ``cost``, have garbled ones.
+    Texts are of one class if their mapped values are equal under accent-sensitive Unicode
+    collation; the least mapped value in binary order stands for all.  A text that is its
+    own form has no row here.  Null and empty texts have none, nor, with a ``cost``, have
+    garbled ones.  Repeated rows are one.
     """
-    mapped = cut_lineage(scan(df, cost, text).where("not garbled").drop("garbled").distinct())
-    classes = mapped.select(F.collate("mapped", "UNICODE").alias("_class"), "mapped").groupBy("_class").agg(F.min("mapped").alias("form"))
-    return mapped.withColumn("_own", F.collate("mapped", "UNICODE")).join(classes, F.col("_own") == F.col("_class")).drop("_own", "_class", "mapped")
+    rows = scan(df, cost, text).where(~F.col("garbled") & (F.col(text) != "")).withColumns({"_a": F.xxhash64("core"), "_b": F.xxhash64("core", F.lit(1)), "_t": F.xxhash64(text), "_changed": F.col("mapped") != F.col(text)})
+    rows = written(rows.drop("garbled", "core"))
+    spellings = rows.groupBy("_a", "_b").agg(F.min("_t").alias("_least"), F.max("_t").alias("_most"), F.max("_changed").alias("_any"))
+    several = small(written(spellings.where(F.col("_any") | (F.col("_least") != F.col("_most"))).select("_a", "_b")))
+    members = written(rows.join(several, ["_a", "_b"], "left_semi").drop("_a", "_b", "_t", "_changed").distinct())
+    classes = members.select(F.collate("mapped", "UNICODE").alias("_class"), "mapped").groupBy("_class").agg(F.min("mapped").alias("form"))
+    own = members.withColumn("_own", F.collate("mapped", "UNICODE"))
+    return own.join(classes, F.col("_own") == F.col("_class")).where(F.col(text) != F.col("form")).drop("_own", "_class")
+
+
+def _unified(spark: SparkSession, d: str) -> DataFrame:
+    rows = texts_and_titles(spark, d)
+    return unify(rows, spark.sparkContext.broadcast(fit_cost(rows)))
 
 
 def p6_forms(spark: SparkSession, d: str) -> DataFrame:
-    """Paragraphs and titles (p = 0) in unusual characters with their one form: (doc_id, sec, p, text, form).
+    """Paragraphs and titles (p = 0) that are not in their class' one form, with it: (doc_id, sec, p, text, form).
 
     Wrongly decoded records are left out: they are to be restored first.
     """
-    rows = texts_and_titles(spark, d)
-    return unify(rows, spark.sparkContext.broadcast(fit_cost(rows)))
+    return _unified(spark, d).drop("mapped")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    """Paragraphs and titles (p = 0) with a stand-in character: (doc_id, sec, p)."""
-    return p6_forms(spark, d).select("doc_id", "sec", "p").distinct()
+    """Paragraphs and titles (p = 0) with a stand-in character: (doc_id, sec, p).
+
+    Of the rows that are not their class' form these are the ones in other than ordinary characters.
+    """
+    return _unified(spark, d).where("text <> mapped").select("doc_id", "sec", "p").distinct()

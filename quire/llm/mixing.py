@@ -17,6 +17,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quire.llm.tokens import token_count
 from quire.session import cut_lineage, load
@@ -85,8 +86,9 @@ def replicate(docs: DataFrame, targets: DataFrame, seed: int = SEED) -> tuple[Da
     """
     spark = docs.sparkSession
     wanted = {r.source: (float(r.target_share), int(r.max_repeats)) for r in targets.collect()}
-    own = docs.where(F.col("source").isin(list(wanted)) & F.col("text").isNotNull()).select("doc_id", "source", "text").distinct()
-    sized = own.select("doc_id", "source", token_count(F.col("text")).alias("n_tokens")).where("n_tokens > 0")
+    own = docs.where(F.col("source").isin(list(wanted)) & F.col("text").isNotNull())
+    # Tokens are counted first, so that repeated rows are told by a hash and no text is shuffled.
+    sized = own.select("doc_id", "source", token_count(F.col("text")).alias("n_tokens"), F.md5("text").alias("_of")).where("n_tokens > 0").distinct().drop("_of")
     sized = cut_lineage(sized.withColumn("u", uniform(F.col("doc_id"), seed)))
     have = {r.source: int(r.t) for r in sized.groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()}
     total, rates = plan(have, wanted)
@@ -122,15 +124,14 @@ def replicate(docs: DataFrame, targets: DataFrame, seed: int = SEED) -> tuple[Da
         F.count(F.lit(1)).alias("n_docs"), F.sum("copies").alias("n_copies"), F.max("copies").alias("max_used"),
         F.sum("n_tokens").alias("available_tokens"), F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"),
     )
-    everything = used.agg(F.sum("tokens").alias("_all"))
+    everything = F.sum("tokens").over(Window.partitionBy())  # over the few targets
     report = (
-        targets.select("source", "target_share", F.lit(1).alias("_one"))
+        targets.select("source", "target_share")
         .join(used, "source", "left")
-        .join(F.broadcast(everything.withColumn("_one", F.lit(1))), "_one")
         .select(
             "source", "target_share",
             *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("available_tokens", "n_docs", "n_copies", "max_used", "tokens")),
-            F.coalesce(F.col("tokens") / F.nullif(F.col("_all"), F.lit(0)), F.lit(0.0)).alias("actual_share"),
+            F.coalesce(F.col("tokens") / F.nullif(everything, F.lit(0)), F.lit(0.0)).alias("actual_share"),
         )
     )
     return mixed, report

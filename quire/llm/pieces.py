@@ -5,10 +5,14 @@ its halos, never the whole item.
 
 1. Each range finds its boundaries and, for every offset at which the previous range may
    hand over, where the chain of cuts leaves it again and how many cuts it holds.
-2. The tables of hand-overs (not the text) are stitched item by item from offset 0, and
-   the numbers of cuts are summed up.
+2. The tables of hand-overs (not the text) are stitched in a tree: ``FAN`` neighbours become
+   one table, level by level, until an item is one; then each level hands its real entries
+   and first numbers (prefix sums of the counts) down to the one below.  No task sees more
+   than ``FAN`` tables of an item.
 3. Each range, now knowing its real entry and first number, emits its pieces by offset.
 
+An item of one range needs no stitching and goes to step 3 at once.
+
 Cuts: a piece ends at the last newline or sentence end that fits, else at the last clause
 mark, else at the last space, else at the limit (never before a combining mark or inside
 a joined sequence, if there is another place).  The next piece starts ``overlap``
@@ -18,19 +22,22 @@ characters before that end.  All lengths are in code points.
 from __future__ import annotations
 
 import bisect
-import os
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from quire.session import load
+from quire.session import load, written
 
-RANGE = 1 << 20  # code points of a range
+RANGE = 4096  # code points of a range of a text
+FILE_RANGE = 1 << 20  # bytes of a range of a file
+FAN = 16  # tables that are stitched into one
 LEFT_HALO = 64
 
 _CLOSERS = "\"'”’»›)\\]}」』》〉】）"
@@ -89,24 +96,56 @@ def _hand_overs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 for q in reversed(path):
                     n += 1
                     exits[q] = (leave, n)
-            out.append([list(entries), [exits[e][0] for e in entries], [exits[e][1] for e in entries]])
-        frame = pdf[["item", "part", "lo"]].copy()
-        for i, name in enumerate(("entries", "exits", "counts")):
+            out.append([[exits[e][0] for e in entries], [exits[e][1] for e in entries]])
+        frame = pdf[["item", "part", "lo", "hi"]].copy()
+        for i, name in enumerate(("exits", "counts")):
             frame[name] = [row[i] for row in out]
         yield frame
 
 
-def _stitch(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Follow the hand-overs of one item from offset 0: a lookup a range."""
-    rows, at, n = [], 0, 0
+def _follow(at: np.ndarray, n: np.ndarray, lo: int, exits: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Chains that are at ``at`` with ``n`` cuts, after the range that starts at ``lo``; one that is past it stays."""
+    i = at - lo
+    here = (i >= 0) & (i < len(exits))
+    i = np.where(here, i, 0)
+    return np.where(here, exits[i], at), n + np.where(here, counts[i], 0)
+
+
+def _compose(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One table of neighbouring ones of an item."""
+    pdf = pdf.sort_values("part")
+    first = pdf.iloc[0]
+    at, n = np.asarray(first.exits), np.asarray(first.counts)
+    for r in pdf.iloc[1:].itertuples(index=False):
+        at, n = _follow(at, n, r.lo, np.asarray(r.exits), np.asarray(r.counts))
+    return pd.DataFrame({"item": [first["item"]], "part": [first.part // FAN], "lo": [first.lo], "hi": [pdf.hi.max()], "exits": [at], "counts": [n]})
+
+
+def _descend(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Real entry and number of cuts before it of each of the tables under one; a table that no chain enters has none."""
+    rows, at, n = [], None, None
     for r in pdf.sort_values("part").itertuples(index=False):
-        i = bisect.bisect_left(list(r.entries), at)
-        if i < len(r.entries) and r.entries[i] == at:
+        if at is None:
+            at, n = r.entry, r.before
+        if r.lo <= at < r.hi:
             rows.append((r.item, r.part, at, n))
-            at, n = int(r.exits[i]), n + int(r.counts[i])
+            at, n = (int(x) for x in _follow(np.int64(at), np.int64(n), r.lo, np.asarray(r.exits), np.asarray(r.counts)))
     return pd.DataFrame(rows, columns=["item", "part", "entry", "before"])
 
 
+def stitch(tables: DataFrame) -> DataFrame:
+    """Real entries of the ranges of all items: (item, part, entry, before), from their hand-overs."""
+    levels = [written(tables)]
+    while levels[-1].where("part > 0").limit(1).count():
+        levels.append(written(levels[-1].groupBy("item", F.floor(F.col("part") / FAN)).applyInPandas(_compose, _HANDED)))
+    entries = levels[-1].select("item", "part", F.lit(0).cast("long").alias("entry"), F.lit(0).cast("long").alias("before"))
+    for below in reversed(levels[:-1]):
+        above = entries.select("item", F.col("part").alias("_up"), "entry", "before")
+        under = below.withColumn("_up", F.floor(F.col("part") / FAN)).join(above, ["item", "_up"])
+        entries = under.groupBy("item", "_up").applyInPandas(_descend, _PLACED)
+    return entries
+
+
 def _emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
@@ -120,34 +159,42 @@ def _emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(rows, columns=["item", "piece", "start", "end", "text"])
 
 
-_HANDED = "item long, part int, lo long, entries array<long>, exits array<long>, counts array<long>"
-_PLACED = "item long, part int, entry long, before long"
-_PIECES = "item long, piece long, start long, end long, text string"
+_HANDED = "item string, part int, lo long, hi long, exits array<long>, counts array<long>"
+_PLACED = "item string, part int, entry long, before long"
+_PIECES = "item string, piece long, start long, end long, text string"
 
 
 def cut_ranges(ranges: DataFrame) -> DataFrame:
     """Pieces of items given as ranges: (item, piece, start, end, text).
 
-    ``ranges``: (item BIGINT, part INT, lo, hi, total, chunk_first BIGINT, chunk STRING,
+    ``ranges``: (item STRING, part INT, lo, hi, total, chunk_first BIGINT, chunk STRING,
     max_chars, overlap_chars INT).  A range owns the offsets lo to hi; its chunk also
     holds what lies up to ``LEFT_HALO`` + overlap before and max_chars after them.
     """
-    placed = ranges.mapInPandas(_hand_overs, _HANDED).groupBy("item").applyInPandas(_stitch, _PLACED)
-    return ranges.join(placed, ["item", "part"]).mapInPandas(_emit, _PIECES)
+    whole = (F.col("lo") == 0) & (F.col("hi") == F.col("total"))
+    alone = ranges.where(whole).withColumns({"entry": F.lit(0).cast("long"), "before": F.lit(0).cast("long")})
+    several = ranges.where(~whole)
+    placed = stitch(several.mapInPandas(_hand_overs, _HANDED))
+    return alone.unionByName(several.join(placed, ["item", "part"])).mapInPandas(_emit, _PIECES)
 
 
 def text_ranges(items: DataFrame, size: int = RANGE) -> DataFrame:
-    """Ranges of the texts of ``items`` (item, text, max_chars, overlap_chars)."""
+    """Ranges of the texts of ``items`` (item, text, max_chars, overlap_chars); each row holds its own chunk only.
+
+    A range is no shorter than a piece, so a chain of cuts enters every range within its first ``max_chars``.
+    """
     left = F.col("overlap_chars") + LEFT_HALO
-    return (
-        items.withColumn("total", F.length("text").cast("long"))
-        .withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("total") - 1) / size).cast("int"))))
-        .withColumn("lo", (F.col("part") * F.lit(size)).cast("long"))
-        .withColumn("hi", F.least(F.col("lo") + size, F.col("total")))
-        .withColumn("chunk_first", F.greatest(F.col("lo") - left, F.lit(0)).cast("long"))
-        .withColumn("chunk", F.substring("text", F.col("chunk_first").cast("int") + 1, (F.col("hi") - F.col("chunk_first") + F.col("max_chars")).cast("int")))
-        .drop("text")
-    )
+    total = F.length("text").cast("long")
+    step = F.greatest(F.lit(size), F.col("max_chars")).cast("long")
+
+    def part(i: Column) -> Column:
+        lo = i.cast("long") * step
+        hi, first = F.least(lo + step, total), F.greatest(lo - left, F.lit(0)).cast("long")
+        chunk = F.substring("text", first.cast("int") + 1, (hi - first + F.col("max_chars")).cast("int"))
+        return F.struct(i.alias("part"), lo.alias("lo"), hi.alias("hi"), total.alias("total"), first.alias("chunk_first"), chunk.alias("chunk"))
+
+    parts = F.transform(F.sequence(F.lit(0), F.floor((total - 1) / step).cast("int")), part)
+    return items.select("item", "max_chars", "overlap_chars", F.explode(parts).alias("r")).select("item", "max_chars", "overlap_chars", "r.*")
 
 
 def split_oversized(items: DataFrame, keys: list[str], size: int = RANGE) -> DataFrame:
@@ -161,19 +208,29 @@ def split_oversized(items: DataFrame, keys: list[str], size: int = RANGE) -> Dat
     own = items.select(
         *keys, "text", F.col("max_chars").cast("int").alias("max_chars"), F.coalesce(F.col("overlap_chars").cast("int"), F.lit(0)).alias("overlap_chars")
     ).where("max_chars > 0 and length(text) > max_chars")
-    own = own.distinct().withColumn("item", F.xxhash64(*[F.to_json(F.struct(*keys)), "text", "max_chars", "overlap_chars"]))
-    pieces = cut_ranges(text_ranges(own.drop(*keys), size))
-    return own.select("item", *keys).join(pieces, "item").drop("item")
+    # The keys travel inside the item's name, so that nothing is joined back.
+    name = F.to_json(F.struct(F.struct(*keys).alias("k"), F.md5("text").alias("t"), F.col("max_chars").alias("m"), F.col("overlap_chars").alias("o")))
+    pieces = cut_ranges(text_ranges(own.select(name.alias("item"), "text", "max_chars", "overlap_chars").distinct(), size))
+    kinds = dict(items.dtypes)
+    schema = "k struct<" + ", ".join(f"`{k}`: {kinds[k]}" for k in keys) + ">"
+    back = pieces.withColumn("_key", F.from_json("item", schema))
+    return back.select(*[F.col("_key.k")[k].alias(k) for k in keys], "piece", "start", "end", "text")
 
 
-def file_ranges(spark: SparkSession, paths: list[str], max_chars: int, overlap_chars: int, size: int = RANGE) -> DataFrame:
-    """Ranges of UTF-8 files that all executors can open, without loading a file whole.
+def _opened(path: str):
+    """A file on any file system that its URI names, to be read by ranges."""
+    system, at = pyarrow.fs.FileSystem.from_uri(path)
+    return system.open_input_file(at)
+
+
+def file_ranges(files: DataFrame, max_chars: int, overlap_chars: int, size: int = FILE_RANGE) -> DataFrame:
+    """Ranges of UTF-8 files, without loading a file whole: ``files`` (path STRING, bytes BIGINT), as a listing gives them.
 
     Ranges are cut in bytes; a first pass counts each range's code points, and a prefix
-    sum of the counts gives the offsets.  Bad bytes become U+FFFD.
+    sum of the counts gives the offsets.  Bad bytes become U+FFFD.  The item is the path.
     """
-    rows = [(i, p, os.path.getsize(p)) for i, p in enumerate(paths)]
-    files = spark.createDataFrame(rows, "item long, path string, bytes long")
+    size = max(size, 4 * max_chars)  # no range is shorter than a piece
+    files = files.select(F.col("path").alias("item"), "path", F.col("bytes").cast("long").alias("bytes"))
     parts = (
         files.where("bytes > 0")
         .withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("bytes") - 1) / size).cast("int"))))
@@ -194,7 +251,7 @@ def file_ranges(spark: SparkSession, paths: list[str], max_chars: int, overlap_c
         for pdf in batches:
             n = []
             for r in pdf.itertuples(index=False):
-                with open(r.path, "rb") as f:
+                with _opened(r.path) as f:
                     a, b = whole(f, r.byte, r.bytes), whole(f, min(r.byte + size, r.bytes), r.bytes)
                     f.seek(a)
                     n.append(len(f.read(b - a).decode("utf-8", "replace")))
@@ -210,7 +267,7 @@ def file_ranges(spark: SparkSession, paths: list[str], max_chars: int, overlap_c
         for pdf in batches:
             chunks, firsts = [], []
             for r in pdf.itertuples(index=False):
-                with open(r.path, "rb") as f:
+                with _opened(r.path) as f:
                     at = r.byte
                     a = whole(f, max(0, at - 4 * (overlap_chars + LEFT_HALO)), r.bytes)
                     mid, b = whole(f, at, r.bytes), whole(f, min(at + size + 4 * max_chars, r.bytes), r.bytes)
@@ -226,18 +283,13 @@ def file_ranges(spark: SparkSession, paths: list[str], max_chars: int, overlap_c
 
 def _oversized(spark: SparkSession, d: str) -> DataFrame:
     voices = load(spark, d, "voices").select("lang", "max_chars", "overlap_chars")
-    least = voices.agg(F.min("max_chars")).first()[0] or 0  # one number of a fixed table
+    known = {r.lang: r for r in voices.collect()}  # 15 rows, fixed
+    least = min((r.max_chars for r in known.values() if r.max_chars is not None), default=0)
     langs = load(spark, d, "novel_files").where("doc_id is not null").groupBy("doc_id").agg(F.min("lang").alias("lang"))
     long_ones = load(spark, d, "paragraphs").where(F.length("text") > least)
-    limits = F.broadcast(voices)  # 15 rows, fixed
-    und = voices.where("lang = 'und'").select(F.col("max_chars").alias("_max"), F.col("overlap_chars").alias("_overlap"), F.lit(1).alias("_one"))
-    return (
-        long_ones.join(langs, "doc_id", "left")
-        .join(limits, "lang", "left")
-        .withColumn("_one", F.lit(1))
-        .join(F.broadcast(und), "_one", "left")
-        .select("doc_id", "sec", "p", "text", F.coalesce("max_chars", "_max").alias("max_chars"), F.coalesce("overlap_chars", "_overlap").alias("overlap_chars"))
-    )
+    und = known.get("und")
+    limit, overlap = (F.coalesce(F.col(c), F.lit(getattr(und, c, None)).cast("int")).alias(c) for c in ("max_chars", "overlap_chars"))
+    return long_ones.join(langs, "doc_id", "left").join(F.broadcast(voices), "lang", "left").select("doc_id", "sec", "p", "text", limit, overlap)
 
 
 def p2_pieces(spark: SparkSession, d: str) -> DataFrame:

@@ -1,11 +1,20 @@
 """Problem 1: sentences of text in many languages and scripts.
 
 Method: a linear-chain model tags characters as boundary or inside, and Viterbi decoding
-picks the best sequence of tags.  Characters that could end a sentence carry features of
-the text around them; all others are inside for certain and are skipped by the decoder.
-The weights start from priors and are trained (averaged structured perceptron) on
-sequences made of lines that are one sentence for certain; for scripts without end marks
-the sequences are made of sentences whose end marks were stripped.
+picks the best sequence of tags.  Only characters that could end a sentence are tagged (end
+marks with their closing signs, and spaces in or beside scripts without end marks); all
+others are inside.  Each carries features of the text around it.
+
+All weights start at zero and are learned (averaged structured perceptron) from a bounded
+sample.  No boundary is marked in the data, so the training tags come from
+
+- lines put together: where one ends and the next begins is a boundary for certain;
+- labelling rules, on the sample's own lines: a table of what speaks for and against a
+  boundary (``RULES``).  The rules tag the sample only; decoding knows the weights alone;
+- for scripts without end marks, sentences of scripts that write without spaces, stripped
+  of their punctuation and put together with spaces.
+
+A text takes time linear in its length.
 """
 
 from __future__ import annotations
@@ -20,10 +29,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.sample import sample_texts
-from quire.session import load
+from quire.session import load, once
 
-SAMPLE_ROWS = 6_000  # texts that the model is trained on
-EPOCHS = 3
+SAMPLE_ROWS = 6_000  # texts that the model is trained on, of at most sample.LONGEST characters each
+EPOCHS = 6
+LOOK_BACK = 40  # characters of a word before a mark that are looked at: no abbreviation is longer
 
 # Abbreviations before a name, others, months, verbs of speech.
 _TITLES = set("""dr mr mrs ms mx prof st mt ft gen capt col lt sgt maj cmdr adm rev hon pres gov sen rep fr sr jr messrs
@@ -48,79 +58,108 @@ _GREEK = re.compile("[Ͱ-Ͽἀ-῿]")
 _INDIC = re.compile("[ऀ-෿]")
 _CANDIDATE = re.compile(rf"[{re.escape(_END)}]+[{re.escape(_CLOSE)}]*")
 _SPACE = re.compile(r"\s+")
-
-
-def _letter(text: str) -> bool:
-    return any(c.isalpha() for c in text)
-
-
-def _next_start(line: str, at: int) -> int:
-    """Offset of the first character after ``at`` that is neither space nor opening sign."""
-    while at < len(line) and (line[at].isspace() or line[at] in _OPEN):
-        at += 1
-    return at
-
-
-def _word_before(line: str, at: int) -> str:
-    start = at
-    while start and not _EAST.match(line[start - 1]) and (line[start - 1].isalnum() or line[start - 1] in ".-'’" or "̀" <= line[start - 1] <= "ͯ" or _INDIC.match(line[start - 1])):
-        start -= 1
-    return line[start:at]
-
-
-def _opening(line: str, close_at: int) -> int:
-    """Offset of the quotation mark that the one at ``close_at`` closes; -1 if there is none."""
-    close = line[close_at]
-    opens = {"”": "“„", "’": "‘‚", "»": "«", "›": "‹", "」": "「", "』": "『", "“": "„"}.get(close)
-    if opens:
-        return max(line.rfind(o, 0, close_at) for o in opens)
-    if close == '"':
-        return line.rfind('"', 0, close_at) if line.count('"', 0, close_at) % 2 else -1
-    return -1
+_LETTER = re.compile(r"[^\W\d_]")
+_WORD = re.compile(r"\w+")
+_LINE_ENDS = re.compile("(\r\n|[\n\r\x0b\x0c\u2028\u2029])")
+_MARK = re.compile(rf"[{re.escape(_END)}]")
+_QUOTES = "\"“”„‘’‚«»‹›「」『』"
+_QUOTE = re.compile(f"[{_QUOTES}]")
+_OPENS = {"”": "“„", "’": "‘‚", "»": "«", "›": "‹", "」": "「", "』": "『", "“": "„"}
+
+
+class _Line:
+    """What the features of a line's candidates need, read once from left to right."""
+
+    def __init__(self, line: str) -> None:
+        self.line = line
+        self.cased = any(map(str.isupper, line))
+        self.quotes = [(m.start(), m.group()) for m in _QUOTE.finditer(line)]
+        self.seen, self.last, self.straight = 0, {}, 0
+        self.depth, self.counted = 0, 0
+
+    def opening(self, close_at: int) -> int:
+        """Offset of the quotation mark that the one at ``close_at`` closes; -1 if there is none.  Offsets must grow."""
+        while self.seen < len(self.quotes) and self.quotes[self.seen][0] < close_at:
+            at, c = self.quotes[self.seen]
+            self.last[c] = at
+            self.straight += c == '"'
+            self.seen += 1
+        close = self.line[close_at]
+        if close == '"':
+            return self.last['"'] if self.straight % 2 else -1
+        return max((self.last.get(o, -1) for o in _OPENS.get(close, "")), default=-1)
+
+    def bracketed(self, at: int) -> bool:
+        """Whether a bracket is open before ``at``.  Offsets must grow."""
+        self.depth += self.line.count("(", self.counted, at) - self.line.count(")", self.counted, at)
+        self.counted = at
+        return self.depth > 0
+
+    def start_after(self, at: int) -> int:
+        """Offset of the first character from ``at`` on that is neither space nor opening sign."""
+        while at < len(self.line) and (self.line[at].isspace() or self.line[at] in _OPEN):
+            at += 1
+        return at
+
+    def word_before(self, at: int) -> str:
+        line, start, least = self.line, at, max(0, at - LOOK_BACK)
+        while start > least and not _EAST.match(line[start - 1]) and (line[start - 1].isalnum() or line[start - 1] in ".-'’" or "̀" <= line[start - 1] <= "ͯ" or _INDIC.match(line[start - 1])):
+            start -= 1
+        return line[start:at]
 
 
 def candidates(line: str) -> list[tuple[int, list[str]]]:
     """Offsets after which a sentence may end, each with its features; the line's end is not among them."""
-    out: list[tuple[int, list[str]]] = []
+    seen, out = _Line(line), []
     for m in _CANDIDATE.finditer(line):
-        mark_end = m.start() + sum(1 for c in m.group() if c in _END)
-        marks, closers = line[m.start() : mark_end], line[mark_end : m.end()]
-        out.append((m.end(), _mark_features(line, m.start(), marks, closers, m.end())))
-    for m in _SPACE.finditer(line):
-        if m.start() and m.end() < len(line):
-            a, b = line[m.start() - 1], line[m.end()]
-            if (_NO_MARK.match(a) or _NO_MARK.match(b)) and a not in _END and a not in _CLOSE:
-                out.append((m.start(), _space_features(a, b)))
-    out.sort()
-    kept, since = [], 0
+        marks = m.group().rstrip(_CLOSE)
+        out.append((m.end(), _mark_features(seen, m.start(), marks, m.group()[len(marks) :], m.end())))
+    if _NO_MARK.search(line):
+        since = 0
+        for m in _SPACE.finditer(line):
+            if m.start() and m.end() < len(line):
+                a, b = line[m.start() - 1], line[m.end()]
+                if (_NO_MARK.match(a) or _NO_MARK.match(b)) and a not in _END and a not in _CLOSE:
+                    out.append((m.start(), _space_features(a, b, m.start() - since)))
+            since = m.end()
+        out.sort()
+    end = len(line.rstrip())
+    last = next((i for i in range(end - 1, -1, -1) if line[i].isalpha()), -1) if out else -1
+    kept, letter = [], _LETTER.search(line)
     for at, features in out:
-        if at < len(line.rstrip()) and _letter(line[since:at]) and _letter(line[at:]):
+        if at < end and at <= last and letter and letter.start() < at:
             kept.append((at, features))
-            since = at
+            letter = _LETTER.search(line, at)
     return kept
 
 
-def _space_features(a: str, b: str) -> list[str]:
-    """Features of a space in or beside a script without end marks."""
-    kind = lambda c: "digit" if c.isdigit() else "script" if _NO_MARK.match(c) or _EAST.match(c) else "letter" if c.isalpha() else "sign"
-    return ["space", f"space:{kind(a)}|{kind(b)}"]
+def _kind(c: str) -> str:
+    return "digit" if c.isdigit() else "script" if _NO_MARK.match(c) or _EAST.match(c) else "letter" if c.isalpha() else "sign"
+
+
+def _space_features(a: str, b: str, run: int) -> list[str]:
+    """Features of a space in or beside a script without end marks; ``run`` characters stand since the space before it."""
+    return ["space", f"space:{_kind(a)}|{_kind(b)}", f"run:{min(run, 12) // 4}"]
 
 
-def _mark_features(line: str, at: int, marks: str, closers: str, end: int) -> list[str]:
+def _mark_features(seen: _Line, at: int, marks: str, closers: str, end: int) -> list[str]:
+    line = seen.line
     mark = "…" if marks.startswith("...") or "…" in marks else marks[-1]
     spaced = end < len(line) and line[end].isspace()
-    start = _next_start(line, end)
+    start = seen.start_after(end)
     first = line[start : start + 1]
     kind = (
         "none" if not first else "digit" if first.isdigit() else "east" if _EAST.match(first) else "upper" if first.isupper() or first.istitle()
-        else "lower" if first.islower() and any(c.isupper() for c in line) else "uncased" if first.islower() else "caseless" if first.isalpha() else "sign"
+        else "lower" if first.islower() and seen.cased else "uncased" if first.islower() else "caseless" if first.isalpha() else "sign"
     )
-    f = [f"mark:{mark}", f"next:{kind}{'' if spaced else '|tight'}"]
-    word = _word_before(line, at)
+    f = [f"mark:{mark}", f"next:{kind}{'' if spaced else '|tight'}", f"mark:{mark}|{kind}"]
+    word = seen.word_before(at)
     before = line[at - 1 : at]
     if mark == ".":
         low = word.lower().strip("-'’")
         tail = low.rsplit(".", 1)[-1]
+        if 0 < len(tail) <= 6:
+            f.append(f"word:{tail}")
         if tail in _TITLES or low in _TITLES:
             f.append("title")
         if (low in _NUMBERED or tail in _NUMBERED) and kind == "digit":
@@ -129,7 +168,7 @@ def _mark_features(line: str, at: int, marks: str, closers: str, end: int) -> li
             f.append("abbreviation" + ("|upper" if kind in ("upper", "sign", "uncased") else ""))
         if len(tail) == 1 and tail.isalpha() and not closers:
             f.append("initial" if word[-1:].isupper() or "." not in low else "initial|lower")
-        if before.isdigit() and re.match(r"\w+", line[start:]) and re.match(r"\w+", line[start:]).group().lower() in _MONTHS:
+        if before.isdigit() and (after := _WORD.match(line, start)) and after.group().lower() in _MONTHS:
             f.append("ordinal")
         if before and _INDIC.match(before):
             f.append("indic")
@@ -142,19 +181,22 @@ def _mark_features(line: str, at: int, marks: str, closers: str, end: int) -> li
     elif not spaced and mark in "!?" and kind != "east" and not closers:
         f.append("tight:new" if kind == "upper" else "tight:inside" if kind in ("lower", "digit") else "tight:sign")
     between = line[end:start]
-    if closers and any(c in "\"”’»“」』" for c in closers):
+    quote = next((i for i, c in enumerate(closers) if c in "\"”’»“」』"), None)
+    if quote is not None:
         f.append("closed")
-        o = _opening(line, end - len(closers) + min(i for i, c in enumerate(closers) if c in "\"”’»“」』"))
-        lead = line[:o].rstrip() if o >= 0 else ":"
-        first_in = not lead or lead[-1] in _END or (lead[-1] in _CLOSE and lead[-1] not in "》〉") or lead[-1] in _OPEN
-        rest = re.split(rf"[{re.escape(_END)}]", line[end:], maxsplit=1)[0]
-        if o >= 0 and first_in and not any(c in "“«「『„\"" for c in between) and _SPEECH.search(rest):
+        o = k = seen.opening(end - len(closers) + quote)
+        while k > 0 and line[k - 1].isspace():
+            k -= 1
+        lead = ":" if o < 0 else line[k - 1] if k else ""
+        first_in = not lead or lead in _END or (lead in _CLOSE and lead not in "》〉") or lead in _OPEN
+        after = _MARK.search(line, end)
+        if o >= 0 and first_in and not any(c in "“«「『„\"" for c in between) and _SPEECH.search(line, end, after.start() if after else len(line)):
             f.append("said")
         if o >= 0 and first_in and not spaced and kind in ("east", "caseless"):
             f.append("quote|tight")
         if line[end : end + 1] in ("と", "라", "이", "하", ",", "，", "、"):
             f.append("goes on")
-    elif re.match(r"\s*[—–-]\s*$", between) and kind == "lower":
+    elif kind == "lower" and between.strip() and all(c in "—–-" for c in between.strip()):
         f.append("goes on")
     if line[end : end + 1] and line[end : end + 1] in ",，、:：;；":
         f.append("goes on")
@@ -162,28 +204,36 @@ def _mark_features(line: str, at: int, marks: str, closers: str, end: int) -> li
         f.append("listed")
     if mark == "…" and (kind in ("east", "caseless") or (_EAST.match(before or " ") and not closers)):
         f.append("pause")
-    depth = line.count("(", 0, end) - line.count(")", 0, end)
-    if depth > 0:
+    if seen.bracketed(end):
         f.append("bracketed")
     return f
 
 
-CERTAIN = 6.0
-SPREAD = 3.0  # how far training moves a weight from its prior
-# Priors of the weights; training moves those below CERTAIN.
-_PRIOR = {
-    "bias": 1.0, "B|B": -0.2, "I|B": 0.0, "next:lower": -30.0, "next:lower|tight": -30.0, "next:upper": 2.0, "next:upper|tight": 1.0, "next:digit": 0.3, "next:digit|tight": -30.0,
-    "next:east": 2.0, "next:east|tight": 1.0, "next:caseless": 2.0, "next:uncased": 2.0, "next:sign": 0.5, "title": -30.0, "numbered": -30.0, "initial": -30.0, "initial|lower": 0.0, "abbreviation": -2.0,
-    "abbreviation|upper": 0.5, "ordinal": -30.0, "indic": -30.0, "tight:new": 1.0, "tight:inside": -30.0, "greek": 1.0, "semicolon": -30.0, "said": -30.0, "quote|tight": -30.0,
-    "goes on": -30.0, "pause": -30.0, "space": 0.5, "space:script|script": 4.0, "space:script|letter": 4.0, "space:letter|script": 4.0, "space:script|sign": 4.0, "space:sign|script": 4.0, "space:digit|script": -30.0, "space:script|digit": -30.0, "space:digit|letter": -30.0, "space:letter|digit": -30.0, "listed": -30.0, "bracketed": 0.0, "closed": 0.0,
+# Labelling rules: what each feature says for (positive) or against a boundary, for tagging the sample.
+RULES = {
+    "next:upper": 3, "next:upper|tight": 2, "next:digit": 1, "next:east": 3, "next:east|tight": 2, "next:caseless": 3, "next:uncased": 3, "next:sign": 2, "next:sign|tight": 1, "tight:new": 1, "greek": 1,
+    "space:script|script": 5, "space:script|letter": 5, "space:letter|script": 5, "space:script|sign": 5, "space:sign|script": 5,
+    **{
+        against: -30
+        for against in (
+            "next:lower", "next:lower|tight", "next:digit|tight", "next:none", "title", "numbered", "initial", "ordinal", "indic", "tight:inside", "semicolon", "said", "quote|tight", "goes on", "pause", "listed",
+            "space:digit|script", "space:script|digit", "space:digit|letter", "space:letter|digit",
+        )
+    },
+    "abbreviation": -2, "abbreviation|upper": 0,
 }
 
 
+def ruled(features: list[list[str]]) -> list[bool]:
+    """The tags that the labelling rules give."""
+    return [sum(RULES.get(x, 0) for x in f) > 0 for f in features]
+
+
 class SentenceModel:
-    """Linear-chain weights and their Viterbi decoder."""
+    """Linear-chain weights and their Viterbi decoder.  Without weights nothing is a boundary."""
 
     def __init__(self, weights: dict[str, float] | None = None) -> None:
-        self.weights = dict(_PRIOR if weights is None else weights)
+        self.weights = dict(weights or {})
 
     def decode(self, features: list[list[str]]) -> list[bool]:
         """Best tags of a chain of candidates: True is a boundary."""
@@ -204,36 +254,37 @@ class SentenceModel:
 
     @classmethod
     def train(cls, texts: list[str], epochs: int = EPOCHS) -> "SentenceModel":
-        """Averaged structured perceptron over made sequences; the order is fixed by a seed."""
+        """Averaged structured perceptron; the order is fixed by a seed."""
         dice = random.Random(7)
-        # What certain evidence contradicts teaches nothing: such a chain is left out.
-        chains = [c for c in _made_sequences(texts, dice) if not any(t and any(_PRIOR.get(x, 0.0) <= -CERTAIN for x in f) for f, t in zip(*c))]
-        model, total, steps = cls(), defaultdict(float), 0
+        return cls.learn(training_chains(texts, dice), dice, epochs)
+
+    @classmethod
+    def learn(cls, chains: list[tuple[list[list[str]], list[bool]]], dice: random.Random, epochs: int = EPOCHS) -> "SentenceModel":
+        model, owed, step = cls(), defaultdict(float), 0
+        chains = list(chains)
         for _ in range(epochs):
             dice.shuffle(chains)
             for features, gold in chains:
+                step += 1
                 guess = model.decode(features)
-                if guess != gold:
-                    for tags, sign in ((gold, 0.2), (guess, -0.2)):
-                        last = True
-                        for f, tag in zip(features, tags):
-                            if tag:
-                                for x in [*f, "bias", "B|B" if last else "I|B"]:
-                                    if abs(_PRIOR.get(x, 0.0)) >= CERTAIN:
-                                        continue
-                                    w, prior = model.weights.get(x, 0.0) + sign, _PRIOR.get(x, 0.0)
-                                    model.weights[x] = min(max(w, prior - SPREAD), prior + SPREAD)
-                            last = tag
-                steps += 1
-            for x, w in model.weights.items():
-                total[x] += w
-        return cls({x: w / max(1, epochs) for x, w in total.items()} if steps else None)
+                if guess == gold:
+                    continue
+                for tags, sign in ((gold, 1.0), (guess, -1.0)):
+                    last = True
+                    for f, tag in zip(features, tags):
+                        if tag:
+                            for x in [*f, "bias", "B|B" if last else "I|B"]:
+                                model.weights[x] = model.weights.get(x, 0.0) + sign
+                                owed[x] += sign * step
+                        last = tag
+        # The mean of the weights over all steps.
+        return cls({x: w - owed[x] / (step + 1) for x, w in model.weights.items()})
 
     def spans(self, text: str) -> list[tuple[int, int]]:
         """Sentences of a text: (start, end) in code points, without outer white space."""
         out, base = [], 0
-        for line in re.split(r"(\r\n|[\n\r  \x0b\x0c])", text):
-            if _letter(line):
+        for line in _LINE_ENDS.split(text):
+            if _LETTER.search(line):
                 cuts = candidates(line)
                 tags = self.decode([f for _, f in cuts])
                 ends = [at for (at, _), tag in zip(cuts, tags) if tag] + [len(line)]
@@ -249,48 +300,85 @@ class SentenceModel:
         return out
 
 
-def _made_sequences(texts: list[str], dice: random.Random) -> list[tuple[list[list[str]], list[bool]]]:
-    """Chains of candidates with their tags, from lines that are one sentence for certain.
+def training_chains(texts: list[str], dice: random.Random) -> list[tuple[list[list[str]], list[bool]]]:
+    """Chains of candidates with their tags: lines as they are, lines put together, and stripped ones."""
+    return [*ruled_chains(texts), *joined_chains(texts, dice), *stripped_chains(texts, dice)]
 
-    A line is certain if it ends in an end mark and holds no other candidate, or only such
-    as go on in lower case.  East Asian lines are used a second time without their marks
-    and with spaces around numbers, as text of scripts that have no end marks.
+
+def _lines(texts: list[str]) -> list[str]:
+    return [line for text in texts for line in map(str.strip, text.split("\n")) if _LETTER.search(line)]
+
+
+def ruled_chains(texts: list[str]) -> list[tuple[list[list[str]], list[bool]]]:
+    """The sample's lines, tagged by the labelling rules."""
+    found = [[f for _, f in candidates(line)] for line in _lines(texts)]
+    return [(f, ruled(f)) for f in found if f]
+
+
+def _script(line: str) -> str:
+    return "bare" if _NO_MARK.search(line) else "east" if _EAST.search(line) else "indic" if _INDIC.search(line) else "greek" if _GREEK.search(line) else "other"
+
+
+def joined_chains(texts: list[str], dice: random.Random) -> list[tuple[list[list[str]], list[bool]]]:
+    """Lines of one script put together by threes: their ends are boundaries; inside a line the rules tag.
+
+    A line that ends in no end mark, or in an ellipsis, is left out: the same signs stand
+    inside sentences too, and its end is known by the line's end alone.
     """
-    certain: dict[str, list[str]] = defaultdict(list)
-    for text in texts:
-        for line in text.split("\n"):
-            line = line.strip()
-            if not _letter(line) or len(line) > 400 or line[-1] not in _END:
-                continue
-            inner = candidates(line)
-            if all("next:lower" in f or "goes on" in f for _, f in inner):
-                script = "east" if _EAST.search(line) else "indic" if _INDIC.search(line) else "greek" if _GREEK.search(line) else "other"
-                certain[script].append(line)
+    by_script: dict[str, list[str]] = defaultdict(list)
+    for line in _lines(texts):
+        bare = line.rstrip(_CLOSE)
+        script = _script(line)
+        if script == "bare" or (bare[-1:] in _END and not bare.endswith(("…", "...", ";", ";"))):
+            by_script[script].append(line)
     chains = []
-    for script, lines in sorted(certain.items()):
+    for script, lines in sorted(by_script.items()):
         dice.shuffle(lines)
-        for i in range(0, len(lines) - 3, 3):
+        for i in range(0, len(lines) - 2, 3):
             group, joined, ends = lines[i : i + 3], "", set()
+            if script == "bare" and any(line[-1].isdigit() or line[0].isdigit() for line in group):
+                continue
             for line in group:
                 joined += line
                 ends.add(len(joined))
                 joined += "" if script == "east" else " "
             cuts = candidates(joined.rstrip())
+            tags = ruled([f for _, f in cuts])
             if cuts:
-                chains.append(([f for _, f in cuts], [at in ends for at, _ in cuts]))
-            if script == "east" and all(_EAST.match(c) or not (c.isalpha() or c.isspace()) for line in group for c in line):
-                bare = [re.sub(r"\s*([0-9][0-9.]*)\s*", r" \1 ", line.strip(_END + _CLOSE + _OPEN)).strip() for line in group]
-                features, gold = [], []
-                joined = ""
-                for k, line in enumerate(bare):
-                    for m in _SPACE.finditer(line):
-                        features.append(_space_features(line[m.start() - 1], line[m.end()]))
-                        gold.append(False)
-                    if k + 1 < len(bare) and line and bare[k + 1] and not line[-1].isdigit() and not bare[k + 1][0].isdigit():
-                        features.append(_space_features(line[-1], bare[k + 1][0]))
-                        gold.append(True)
-                if features:
-                    chains.append((features, gold))
+                chains.append(([f for _, f in cuts], [at in ends or tag for (at, _), tag in zip(cuts, tags)]))
+    return chains
+
+
+def stripped_chains(texts: list[str], dice: random.Random) -> list[tuple[list[list[str]], list[bool]]]:
+    """Sentences without their punctuation, put together with spaces, as scripts without end marks write.
+
+    Chinese and Japanese lines serve, cut by the rules: they have no spaces of their own.
+    Around numbers stand spaces that end nothing.
+    """
+    bare = []
+    for line in _lines(texts):
+        if _script(line) != "east":
+            continue
+        cuts = candidates(line)
+        ends = [0, *[at for (at, _), tag in zip(cuts, ruled([f for _, f in cuts])) if tag], len(line)]
+        for a, b in zip(ends, ends[1:]):
+            piece = re.sub(r"[^\w.]|(?<!\d)\.|\.(?!\d)", "", line[a:b])
+            if piece and not piece[0].isdigit() and not piece[-1].isdigit():
+                bare.append(re.sub(r"\d[\d.]*", lambda m: f" {m.group()} ", piece))
+    dice.shuffle(bare)
+    chains = []
+    for i in range(0, len(bare) - 3, 4):
+        joined, ends = "", set()
+        for piece in bare[i : i + 4]:
+            joined += piece
+            ends.add(len(joined))
+            joined += " "
+        features, tags, since = [], [], 0
+        for m in _SPACE.finditer(joined.rstrip()):
+            features.append(_space_features(joined[m.start() - 1], joined[m.end()], m.start() - since))
+            tags.append(m.start() in ends)
+            since = m.end()
+        chains.append((features, tags))
     return chains
 
 
@@ -306,7 +394,7 @@ def split_sentences(df: DataFrame, keys: list[str], model: SentenceModel, text:
     line without an end mark is one.  Repeated rows count once.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
-    rows = df.where(F.col(text).isNotNull()).select(*keys, F.col(text).alias("_text")).distinct()
+    rows = once(df.where(F.col(text).isNotNull()).select(*keys, F.col(text).alias("_text")), keys)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         spans = shared.value.spans

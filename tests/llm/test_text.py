@@ -67,7 +67,10 @@ def test_split_oversized_rows(spark):
 def test_file_ranges_equal_the_text(spark, tmp_path):
     text = "Ein Satz. Über größere Wege… 白发长老。 " * 60
     (tmp_path / "f.txt").write_text(text, encoding="utf-8")
-    got = pieces.cut_ranges(pieces.file_ranges(spark, [str(tmp_path / "f.txt")], 80, 9, size=301)).toPandas().sort_values("piece")
+    (tmp_path / "g.txt").write_bytes(b"")
+    listing = [(str(tmp_path / n), (tmp_path / n).stat().st_size) for n in ("f.txt", "g.txt")]
+    files = spark.createDataFrame(listing, "path string, bytes long")
+    got = pieces.cut_ranges(pieces.file_ranges(files, 80, 9, size=301)).toPandas().sort_values("piece")
     assert got.end.tolist() == pieces.RangeCutter(text, 0, len(text), 80, 9).chain(0, len(text))[1:] and all(text[a:b] == t for a, b, t in zip(got.start, got.end, got.text))
 
 
@@ -98,6 +101,9 @@ def test_ordinary_characters():
 def test_unify_gives_equal_looking_texts_one_form(spark):
     df = spark.createDataFrame([(1, "ｃafé"), (2, "café"), (3, "café"), (4, None), (5, ""), (2, "café")], "id int, text string")
     assert sorted((r.id, r.form) for r in lookalike.unify(df).collect()) == [(1, "café"), (2, "café")]
+    # An ordinary row that the collation takes for equal joins its class too.
+    twins = spark.createDataFrame([(1, "ab\u0007c"), (2, "abc"), (3, "abd")], "id int, text string")
+    assert [(r.id, r.form, r.mapped == r.text) for r in lookalike.unify(twins).collect()] in ([(1, "abc", True)], [(2, "ab\u0007c", True)])
     assert lookalike.unify(df.limit(0)).count() == 0
 
 
@@ -137,16 +143,64 @@ SPLITS = [
 ]
 
 
+@pytest.fixture(scope="module")
+def model():
+    """Trained on generated lines in several scripts, none of which is in SPLITS."""
+    return sentences.SentenceModel.train(generated_lines(1))
+
+
+def generated_lines(seed):
+    dice = random.Random(seed)
+    pick = lambda *x: dice.choice(x)
+    made = [
+        lambda: f"{pick('Dr.', 'Mr.', 'Capt.', 'Mt.')} {pick('Ondo', 'Hexley', 'Tane')} {pick('slept', 'ran home', 'came at 6 p.m.')}. {pick('One', 'The', 'Why')} {pick('fox', 'bell')} rang{pick('.', '!', '?')}",
+        lambda: f"“{pick('Run', 'Is it late', 'Stop')}{pick('!', '?')}” {pick('she', 'Mira')} {pick('said', 'asked', 'whispered')}. {pick('Late', 'Enough')}!",
+        lambda: f"He {pick('slept', 'paused')}... and {pick('ran', 'left')}. The gate of 12.{dice.randint(1, 9)} feet opened.",
+        lambda: f"「{pick('逃げろ', '待て')}！」と{pick('少年', '王')}は叫んだ。{pick('もう遅い', '雨が降る')}！",
+        lambda: f"“{pick('快走', '等等')}！”{pick('老人', '她')}说道。{pick('太迟了', '下雨了')}！{pick('少年', '老人')}拔出{dice.randint(2, 99)}把剑。他{pick('走', '来')}了。",
+        lambda: f"Am {dice.randint(1, 28)}. {pick('Mai', 'Juni')} kam {pick('Dr.', 'Prof.')} {pick('Abel', 'Kern')}. {pick('Zu spät', 'Genug')}!",
+        lambda: f"В {dice.randint(100, 900)} г. до н. э. {pick('здесь', 'там')} {pick('был', 'стоял')} {pick('мост', 'дом')}. {pick('Поздно', 'Пора')}!",
+        lambda: f"—¡{pick('Corre', 'Ven')}! —{pick('gritó', 'dijo')} {pick('ella', 'él')}. ¡{pick('Tarde', 'Basta')}!",
+        lambda: f"Ο κ. {pick('Νίκος', 'Άρης')} ήρθε στις {dice.randint(1, 9)} π.μ. με {pick('πλοίο', 'τρένο')}. Ήταν {pick('νύχτα', 'μέρα')};",
+        lambda: f"The note read: “Sold to {pick('Capt.', 'Mr.')} {pick('Vale', 'Rho')}, approx. {dice.randint(2, 9)}.{dice.randint(1, 9)} oz. of {pick('salt', 'ash')}.”",
+        lambda: f"Could {pick('she', 'he')} {pick('forget it', 'go home')}?{pick('The', 'One')} gate opened.",
+        lambda: f"{dice.randint(1, 40)}. See the {pick('map', 'index')}",
+        lambda: f"{pick('หอคอยสูง', 'เขาเดิน')} {dice.randint(2, 99)} {pick('เมตร', 'ก้าว')} {pick('สายเกินไป', 'ฝนตก')}",
+    ]
+    return [dice.choice(made)() for _ in range(3000)]
+
+
+def test_training_decides_the_tags():
+    dice = random.Random(2)
+    held = sentences.training_chains(generated_lines(2), dice)
+    right = {}
+    for name, model in (("untrained", sentences.SentenceModel()), ("trained", sentences.SentenceModel.train(generated_lines(1)))):
+        pairs = [(a, b) for f, gold in held for a, b in zip(model.decode(f), gold)]
+        right[name] = sum(a == b for a, b in pairs) / len(pairs)
+    assert right["trained"] > 0.99 and right["untrained"] < 0.6
+
+
+def test_time_grows_with_the_line(model):
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        began = time.perf_counter()
+        for part in ("word. Next ", "(a” b.” “c ", "a.a", ". ", "ที่ "):
+            model.spans(part * (n // len(part)))
+        took.append(time.perf_counter() - began)
+    assert took[1] < 9 * took[0]
+
+
 @pytest.mark.parametrize("marked", SPLITS)
-def test_sentence_boundaries(marked):
-    model = sentences.SentenceModel.train(["The old fox ran home. The gate opened at noon.", "太迟了！"] * 5)
+def test_sentence_boundaries(marked, model):
     text = marked.replace("|", "")
     assert [text[a:b] for a, b in model.spans(text)] == [s.strip() for s in marked.split("|")]
 
 
-def test_sentences_of_odd_rows(spark):
+def test_sentences_of_odd_rows(spark, model):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "*** 12 ***"), (4, "One. Two!"), (4, "One. Two!"), (5, "a\n\nb")], "k int, text string")
-    got = sentences.split_sentences(df, ["k"], sentences.SentenceModel()).select("k", "s", "s_start", "s_end")
+    got = sentences.split_sentences(df, ["k"], model).select("k", "s", "s_start", "s_end")
     assert sorted(map(tuple, got.collect())) == [(4, 1, 0, 4), (4, 2, 5, 9), (5, 1, 0, 1), (5, 2, 3, 4)]
 
 
@@ -248,3 +302,23 @@ def test_residue_of_odd_tables(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, " \n "), (4, "xxxx " * 20_000), (5, "asdf " * 20_000 + "x" * 40_000), (6, "404 Not Found"), (6, "404 Not Found")], "doc_id long, text string")
     assert {r.doc_id for r in residue.find_residue(df).collect()} == {4, 5, 6}
     assert residue.find_residue(df.limit(0)).count() == 0
+
+
+def test_stitching_in_a_tree_equals_the_whole(spark):
+    dice = random.Random(4)
+    texts = [(k, "".join(dice.choice("ab. ,文") for _ in range(dice.choice((40, 700, 4000)))), dice.randint(8, 60), dice.randint(0, 9)) for k in range(12)]
+    df = spark.createDataFrame(texts, "k int, text string, max_chars int, overlap_chars int")
+    got = {}
+    for r in pieces.split_oversized(df, ["k"], size=11).orderBy("k", "piece").collect():
+        got.setdefault(r.k, []).append((r.piece, r.end, r.text))
+    for k, text, limit, overlap in texts:
+        cuts = pieces.RangeCutter(text, 0, len(text), limit, overlap).chain(0, len(text))
+        overlap = min(overlap, limit - 1)
+        want = [(i + 1, b, text[max(0, a - overlap) : b]) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+        assert got.get(k, []) == (want if len(text) > limit else []), k
+
+
+def test_neighbours_are_counted_over_all_rows(spark):
+    df = spark.createDataFrame([("é1é",), ("é2é",), ("plain",), (None,), ("é�",), ("né\né",)], "text string")
+    counted, total = encoding.count_neighbours(df)
+    assert counted == {"é0": 2, "0é": 2, "né": 1} and total == 5
