@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from quire.llm.components import connected_components
 from quire.llm.simhash import HAMMING, hamming, in_tables, simhashes, text_similarity
-from quire.session import load, written
+from quire.session import load, small, written
 
 _NAME = r"[A-Za-z][\w.]*(?: ?\| ?\w+)?"
 # Placeholder notations around a variable's name, with or without inner spaces.
@@ -189,9 +189,9 @@ def near_lines(lines: DataFrame, of: DataFrame, least: float) -> DataFrame:
     Forms that share a key of a SimHash table are candidates; Hamming distance of the
     signatures and similarity of the texts verify them.  Prose is linked to nothing.
     """
+    few = of.count() <= BROADCAST_FORMS
     slots = in_tables(of.select(F.col("id").alias("b"), F.col("sig").alias("_sig")), "_sig")
-    if of.count() <= BROADCAST_FORMS:
-        slots = F.broadcast(slots)
+    slots = F.broadcast(slots) if few else slots
     met = (
         in_tables(lines.select(F.col("id").alias("a"), "sig"), "sig")
         .join(slots, ["mask", "key"])
@@ -200,7 +200,8 @@ def near_lines(lines: DataFrame, of: DataFrame, least: float) -> DataFrame:
         .distinct()
     )
     met = written(met)
-    texts = lines.join(met.select(F.col("a").alias("id")).distinct(), "id", "left_semi").groupBy(F.col("id").alias("a")).agg(F.min("form").alias("form"), F.min("sig").alias("sig"))
+    wanted = small(written(met.select(F.col("a").alias("id")).distinct()))
+    texts = lines.join(wanted, "id", "left_semi").groupBy(F.col("id").alias("a")).agg(F.min("form").alias("form"), F.min("sig").alias("sig"))
     pairs = met.join(texts, "a").join(of.select(F.col("id").alias("b"), F.col("form").alias("_form")), "b")
     return pairs.where((text_similarity("form", "_form") >= least) & ~_is_prose("form")).select("a", "form", "sig", "b")
 
@@ -235,7 +236,7 @@ def find_residue(docs: DataFrame, key: str = "doc_id", least: float = 0.8) -> Da
     inside = seeded_words(docs, key)
     lines = written(signed_lines(docs, frozenset(inside), key))
     filler = filler_lines(lines, inside, key).select(key, "form", F.col("id").alias("class"), F.lit("filler").alias("how"))
-    return lines.join(residue_classes(lines, least), "id").select(key, "form", "class", "how").union(filler).distinct()
+    return lines.join(small(written(residue_classes(lines, least))), "id").select(key, "form", "class", "how").union(filler).distinct()
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
