@@ -21,8 +21,9 @@ NODES = (
 class _Tree(HTMLParser):
     """Elements in document order; an end tag closes the nearest open element of its name, or nothing."""
 
-    def __init__(self) -> None:
+    def __init__(self, texts: bool) -> None:
         super().__init__(convert_charrefs=True)
+        self.texts = texts
         self.nodes: list[dict] = []
         self.open: list[int] = []
 
@@ -45,35 +46,41 @@ class _Tree(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if not self.texts:
+            return
         for at in self.open:
             self.nodes[at]["pieces"].append(data)
         if self.open:
             self.nodes[self.open[-1]]["own"].append(data)
 
     def handle_comment(self, data: str) -> None:
-        if self.open:
+        if self.open and self.texts:
             self.nodes[self.open[-1]]["own"].append(data)
 
 
-def parse(html: str | None) -> list[dict]:
-    """H1: nodes of a document; none for null or empty text.
+def parse(html: str | None, texts: bool = True) -> list[dict]:
+    """H1: nodes of a document; none for null or empty text.  Without ``texts`` the elements only.
 
     ``text`` joins the stripped pieces of all text below by a space (H10), ``joined`` by
     nothing (H11), ``direct`` is the node's own text with comments (H8).
     """
     if not html:
         return []
-    tree = _Tree()
+    tree = _Tree(texts)
     tree.feed(html)
     tree.close()
     for n in tree.nodes:
         pieces = [p for p in (x.strip() for x in n.pop("pieces")) if p]
-        n["text"], n["joined"], n["direct"] = " ".join(pieces), "".join(pieces), "".join(n.pop("own")).strip()
+        own = "".join(n.pop("own")).strip()
+        n["text"], n["joined"], n["direct"] = (" ".join(pieces), "".join(pieces), own) if texts else (None, None, None)
     return tree.nodes
 
 
-def html_nodes(docs: DataFrame, html: str = "html") -> DataFrame:
-    """H1: one row an element, with the other columns of the document."""
+def html_nodes(docs: DataFrame, html: str = "html", texts: bool = True) -> DataFrame:
+    """H1: one row an element, with the other columns of the document.
+
+    An element's text holds that of all below it, so ask for ``texts`` only where they are read.
+    """
     keep = [c for c in docs.columns if c != html]
     kinds = dict(docs.dtypes)
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in keep] + [NODES])
@@ -81,7 +88,7 @@ def html_nodes(docs: DataFrame, html: str = "html") -> DataFrame:
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            trees = [parse(h) for h in pdf[html]]
+            trees = [parse(h, texts) for h in pdf[html]]
             out = pdf[keep].loc[pdf.index.repeat([len(t) for t in trees])].reset_index(drop=True)
             for name in names:
                 out[name] = [n[name] for t in trees for n in t]
@@ -124,17 +131,36 @@ def descendants(nodes: DataFrame, tops: DataFrame, key: str = "doc_id") -> DataF
     return above.join(up, (above[key] == F.col("_key")) & (F.col("top") == F.col("_pos")), "left_semi")
 
 
+def _matches(part: str) -> Column:
+    """One step of a selector: ``tag``, ``tag.class`` or ``.class``."""
+    tag, _, cls = part.partition(".")
+    return (F.col("tag") == tag if tag else F.lit(True)) & (has_class(cls) if cls else F.lit(True))
+
+
 def select_first(nodes: DataFrame, tops: DataFrame, selector: str, key: str = "doc_id") -> DataFrame:
-    """H7: first match of a selector below each top: ``tag``, ``tag.class``, ``.class`` and ``A B``: (key, top, pos, text, direct)."""
-    parts = selector.split()
-    tag, _, cls = parts[-1].partition(".")
-    hit = (F.col("tag") == tag if tag else F.lit(True)) & (has_class(cls) if cls else F.lit(True))
-    found = descendants(nodes, tops, key).where(hit)
-    if len(parts) > 1:
-        t, _, c = parts[-2].partition(".")
-        outer = nodes.where((F.col("tag") == t if t else F.lit(True)) & (has_class(c) if c else F.lit(True))).select(F.col(key).alias("_k"), F.col("pos").alias("_p"))
-        found = found.join(outer, (F.col(key) == F.col("_k")) & F.array_contains("ancestors", F.col("_p")), "left_semi")
-    return found.groupBy(key, "top").agg(F.min_by(F.struct("pos", "text", "direct"), "pos").alias("_n")).select(key, "top", "_n.*")
+    """H7: first match of a selector below each top: (key, top, pos, text, joined, direct).
+
+    Steps are ``tag``, ``tag.class`` and ``.class``, any number of them, each below the one
+    before.  Only the last has to stand below the top; the others may be above it, as in
+    browsers.
+    """
+    *outer, last = selector.split()
+    chosen = None
+    for part in outer:
+        hit = nodes if chosen is None else descendants(nodes, chosen, key).drop("top")
+        chosen = hit.where(_matches(part)).select(key, "pos").distinct()
+    found = descendants(nodes.where(_matches(last)), tops, key)
+    if chosen is not None:
+        up = chosen.select(F.col(key).alias("_k"), F.col("pos").alias("_p"))
+        inner = nodes.where(_matches(last)).select(key, "pos", F.explode("ancestors").alias("_up"))
+        inner = inner.join(up, (inner[key] == up["_k"]) & (inner["_up"] == up["_p"]), "left_semi").select(key, "pos").distinct()
+        found = found.join(inner, [key, "pos"], "left_semi")
+    return found.groupBy(key, "top").agg(F.min_by(F.struct("pos", "text", "joined", "direct"), "pos").alias("_n")).select(key, "top", "_n.*")
+
+
+def own_text(direct: Column, joined: Column) -> Column:
+    """H8: an element's own text, or all of it where it has none of its own."""
+    return S.falsy(direct, joined)
 
 
 def toc_links(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -150,19 +176,21 @@ def title(html: Column) -> Column:
 
 
 def clean_head(name: Column) -> Column:
-    """Head of a split file."""
-    return F.concat(F.lit('<html>\n<head>\n<meta charset="utf-8">\n<title>'), name, F.lit("</title>\n</head>\n<body>\n"))
+    """Head of a split file.  Fixed values: its lines."""
+    before = '<head>\n    <meta charset="utf-8">\n    <meta name="viewport" content="width=device-width, initial-scale=1.0">\n    <title>'
+    after = '</title>\n    <link rel="stylesheet" href="../../assets/style.css">\n    <script src="../../assets/chapter.js"></script>\n</head>'
+    return F.concat(F.lit(before), name, F.lit(after))
 
 
 def footer(html: Column) -> Column:
     """End of body and file, as it is or by default."""
     pattern = r"(?i)</body>\s*</html>"
-    return F.when(html.rlike(pattern), F.regexp_extract(html, pattern, 0)).otherwise("</body>\n</html>")
+    return F.when(html.rlike(pattern), F.regexp_extract(html, pattern, 0)).otherwise("</body></html>")
 
 
 def body_end(html: Column) -> Column:
-    """Offset of the body's end tag, else the length."""
-    at = F.locate("</body", html)
+    """Offset of the body's end tag, in any case of letters, else the length."""
+    at = F.regexp_instr(html, F.lit("(?i)</body"))
     return F.when(at > 0, at - 1).otherwise(F.length(html))
 
 
@@ -185,6 +213,13 @@ def headers(html: Column) -> Column:
     )
 
 
+def toc_nav(rows: Column) -> Column:
+    """A table of contents of an ARRAY<STRUCT<link_id, title>>, in its order.  Fixed values: its lines and indents."""
+    head = '      <nav type="toc" id="toc_main" role="doc-toc">\n        <h2 class="calibre1">Table of Contents</h2>\n        <ol class="calibre2">\n'
+    item = lambda r: F.concat(F.lit('          <li class="calibre3">\n            <a href="#'), r["link_id"], F.lit('">'), r["title"], F.lit("</a>\n          </li>\n"))
+    return F.concat(F.lit(head), F.array_join(F.transform(rows, item), ""), F.lit("        </ol>\n      </nav>"))
+
+
 def insert_after(html: Column, target: str, block: Column) -> Column:
     """``block`` on a new line after every ``target``; NULL if there is none.  Not idempotent."""
     return F.when(F.contains(html, F.lit(target)), F.replace(html, F.lit(target), F.concat(F.lit(target + "\n"), block)))

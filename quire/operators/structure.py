@@ -85,6 +85,9 @@ def timeline(rows: DataFrame, keys: list[str], pos: str, duration: Column) -> Da
     return out.withColumns({"start_ms": F.col("end_ms") - F.col("_d"), "i": F.col("_n") - 1}).withColumn("element", F.format_string("ch%03d", "i")).drop("_d", "_n")
 
 
-def zip_rows(left: DataFrame, right: DataFrame, pos: str) -> DataFrame:
-    """Rows paired by position; what has no partner is cut off."""
-    return left.join(right, pos)
+def zip_rows(left: DataFrame, right: DataFrame, keys: list[str], unpaired: bool = False) -> DataFrame:
+    """Rows paired by position (the last of ``keys``); what has no partner is cut off, or kept with ``paired`` false."""
+    if not unpaired:
+        return left.join(right, keys)
+    both = left.withColumn("_l", F.lit(True)).join(right.withColumn("_r", F.lit(True)), keys, "full")
+    return both.withColumn("paired", F.coalesce(F.col("_l") & F.col("_r"), F.lit(False))).drop("_l", "_r")

@@ -146,16 +146,16 @@ def paragraph_numbers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _lines_in_order(spark: SparkSession, d: str) -> DataFrame:
-    """Headings and paragraphs of each file in document order: (doc_id, pos, heading)."""
-    place = (F.col("sec").cast("bigint") * 10_000_000).alias("pos")
-    heads = sections(spark, d).select("doc_id", place, F.lit(True).alias("heading"))
+    """Headings (p = 0) and paragraphs of each file in document order: (doc_id, pos BIGINT, heading); ``pos`` is sec * 2^32 + p, exact for all INTs."""
+    place = lambda p: (F.col("sec").cast("bigint") * F.lit(1 << 32) + p).alias("pos")
+    heads = sections(spark, d).select("doc_id", place(F.lit(0)), F.lit(True).alias("heading"))
     body = load(spark, d, "paragraphs").select("doc_id", "sec", "p").distinct()
-    return heads.unionByName(body.select("doc_id", (F.col("sec").cast("bigint") * 10_000_000 + F.col("p")).alias("pos"), F.lit(False).alias("heading")))
+    return heads.unionByName(body.select("doc_id", place(F.col("p")), F.lit(False).alias("heading")))
 
 
 _LINES_SQL = (
-    f"(SELECT doc_id, sec::BIGINT * 10000000 AS pos, true AS heading FROM {SECTIONS} UNION ALL "
-    "SELECT DISTINCT doc_id, sec::BIGINT * 10000000 + p AS pos, false AS heading FROM paragraphs)"
+    f"(SELECT doc_id, sec::BIGINT * 4294967296 AS pos, true AS heading FROM {SECTIONS} UNION ALL "
+    "SELECT DISTINCT doc_id, sec::BIGINT * 4294967296 + p AS pos, false AS heading FROM paragraphs)"
 )
 
 
@@ -199,7 +199,7 @@ def concat_bytes(spark: SparkSession, d: str) -> DataFrame:
 
 
 # Pages: one HTML file a document, made of its table of contents and its chapters.
-HEAD, TAIL = "<html><head><title>", "</body></html>"
+HEAD = "<html><head><title>"
 WRAPPER = '<div class="calibre" id="calibre_link-0">'
 
 
@@ -216,13 +216,13 @@ def pages(spark: SparkSession, d: str) -> DataFrame:
         "doc_id",
         F.concat(
             F.lit(HEAD), F.coalesce("novel", F.lit("")), F.lit('</title></head><body>' + WRAPPER + '<nav role="doc-toc"><h2>Contents</h2><ol>'),
-            F.coalesce("items", F.lit("")), F.lit("</ol></nav>"), "chapters", F.lit("</div>" + TAIL),
+            F.coalesce("items", F.lit("")), F.lit("</ol></nav>"), "chapters", F.lit("</div>"), F.when(F.col("doc_id") % 3 == 0, "</BODY>\n</HTML>").otherwise("</body></html>"),
         ).alias("html"),
     )
 
 
 _PAGES_SQL = f"""(SELECT c.doc_id, '{HEAD}' || coalesce(f.novel, '') || '</title></head><body>{WRAPPER}<nav role="doc-toc"><h2>Contents</h2><ol>'
- || coalesce(i.items, '') || '</ol></nav>' || c.chapters || '</div>{TAIL}' AS html
+ || coalesce(i.items, '') || '</ol></nav>' || c.chapters || '</div>' || CASE WHEN c.doc_id % 3 = 0 THEN '</BODY>' || chr(10) || '</HTML>' ELSE '</body></html>' END AS html
  FROM (SELECT s.doc_id, string_agg('<div class="calibre1"></div><h1 id="' || s.link_id || '" class="calibre1">' || coalesce(s.title, '') || '</h1>' || coalesce(b.body, ''), '' ORDER BY s.sec) AS chapters
    FROM {SECTIONS} s LEFT JOIN (SELECT doc_id, sec, string_agg('<p class="calibre2">' || text || '</p>', '' ORDER BY p) AS body FROM {PARAGRAPHS} GROUP BY doc_id, sec) b
    ON s.doc_id = b.doc_id AND s.sec = b.sec GROUP BY s.doc_id) c
@@ -231,7 +231,7 @@ _PAGES_SQL = f"""(SELECT c.doc_id, '{HEAD}' || coalesce(f.novel, '') || '</title
 
 
 @query(
-    f"""SELECT doc_id, coalesce(nullif(regexp_extract(html, '(?i)<title>(.*?)</title>', 1), ''), '') AS page_title, strpos(html, '</body') - 1 AS body_end,
+    f"""SELECT doc_id, coalesce(nullif(regexp_extract(html, '(?i)<title>(.*?)</title>', 1), ''), '') AS page_title, len(regexp_extract(html, '(?is)^(.*?)</body', 1)) AS body_end,
  len(regexp_extract_all(regexp_extract(html, '(?s)<nav[^>]*?role="doc-toc"[^>]*>(.*?)</nav>', 1), '(?s)<li[^>]*>(.*?)</li>', 1)) AS n_items,
  regexp_extract(html, '(?i)</body>\\s*</html>') AS footer, len(html) AS n_chars FROM {_PAGES_SQL}"""
 )
@@ -247,7 +247,7 @@ def page_parts(spark: SparkSession, d: str) -> DataFrame:
 @query(
     f"""SELECT doc_id, i, sum(n) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING)::BIGINT - n AS start_pos, sum(n) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING)::BIGINT AS end_pos, md5(piece) AS slice
  FROM (SELECT doc_id, i, piece, len(piece)::BIGINT AS n FROM (SELECT doc_id, unnest(range(len(l))) AS i, unnest(list_transform(l, lambda x, k: CASE WHEN k = 1 THEN x ELSE '<h1 id="calibre_link-' || x END)) AS piece
- FROM (SELECT doc_id, string_split(split_part(html, '</body', 1), '<h1 id="calibre_link-') AS l FROM {_PAGES_SQL})))
+ FROM (SELECT doc_id, string_split(regexp_replace(html, '(?is)</body.*$', ''), '<h1 id="calibre_link-') AS l FROM {_PAGES_SQL})))
  QUALIFY i > 0"""
 )
 def slice_between_anchors(spark: SparkSession, d: str) -> DataFrame:
@@ -258,19 +258,21 @@ def slice_between_anchors(spark: SparkSession, d: str) -> DataFrame:
     return cut.withColumn("end_pos", end).where("i > 0").select("doc_id", F.col("i").cast("bigint").alias("i"), (F.col("end_pos") - F.col("n")).alias("start_pos"), "end_pos", F.md5("piece").alias("slice"))
 
 
+TARGET = "<body>" + WRAPPER
+
+
 @query(
-    f"""SELECT doc_id, n_items, md5(replace(html, '{WRAPPER}', '{WRAPPER}' || chr(10) || nav)) AS html FROM (SELECT p.doc_id, p.html, t.n_items,
- '<nav role="doc-toc">' || chr(10) || t.items || chr(10) || '</nav>' AS nav FROM {_PAGES_SQL} p JOIN (SELECT doc_id, count(*) AS n_items, string_agg('<li><a href="#' || link_id || '">' || title || '</a></li>', chr(10) ORDER BY pos, ref_id) AS items
+    f"""SELECT doc_id, n_items, md5(replace(html, '{TARGET}', '{TARGET}' || chr(10) || nav)) AS html FROM (SELECT p.doc_id, p.html, t.n_items,
+ '      <nav type="toc" id="toc_main" role="doc-toc">' || chr(10) || '        <h2 class="calibre1">Table of Contents</h2>' || chr(10) || '        <ol class="calibre2">' || chr(10) || t.items || chr(10) || '        </ol>' || chr(10) || '      </nav>' AS nav
+ FROM {_PAGES_SQL} p JOIN (SELECT doc_id, count(*) AS n_items, string_agg('          <li class="calibre3">' || chr(10) || '            <a href="#' || link_id || '">' || title || '</a>' || chr(10) || '          </li>', chr(10) ORDER BY pos, ref_id) AS items
  FROM {TOC} WHERE link_id IS NOT NULL AND title IS NOT NULL GROUP BY doc_id) t ON p.doc_id = t.doc_id)"""
 )
 def insert_toc(spark: SparkSession, d: str) -> DataFrame:
-    """H21, H23, K3."""
-    row = F.concat(F.lit('<li><a href="#'), "link_id", F.lit('">'), "title", F.lit("</a></li>"))
+    """Pages with a table of contents built and inserted; pages without the target have none."""
     navs = toc(spark, d).where("link_id is not null and title is not null").groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n_items"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ref_id", row.alias("t")))), lambda x: x["t"]), "\n").alias("items")
+        F.count(F.lit(1)).alias("n_items"), F.array_sort(F.collect_list(F.struct("pos", "ref_id", "link_id", "title"))).alias("rows")
     )
-    nav = F.concat(F.lit('<nav role="doc-toc">\n'), "items", F.lit("\n</nav>"))
-    return pages(spark, d).join(navs, "doc_id").select("doc_id", "n_items", F.md5(H.insert_after(F.col("html"), WRAPPER, nav)).alias("html"))
+    return pages(spark, d).join(navs, "doc_id").select("doc_id", "n_items", F.md5(H.insert_after(F.col("html"), TARGET, H.toc_nav(F.col("rows")))).alias("html"))
 
 
 _CHUNKS_SQL = f"(SELECT *, (place - 1) // 5 + 1 AS chunk_no FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sec) AS place FROM {SECTIONS}))"
@@ -287,24 +289,6 @@ def fixed_chunks(spark: SparkSession, d: str) -> DataFrame:
     return W.chunk_labels(rows, ["doc_id"], "pos", "chapter").select("doc_id", "chunk_no", "first_number", "last_number", "n_chapters", "label", "file")
 
 
-@query(
-    f"""SELECT c.doc_id, c.chunk_no::BIGINT AS chunk_no, md5('<html>' || chr(10) || '<head>' || chr(10) || '<meta charset="utf-8">' || chr(10) || '<title>' || coalesce(f.novel, 'Unknown') || '</title>' || chr(10) || '</head>' || chr(10) || '<body>' || chr(10)
- || string_agg('<h1>' || coalesce(c.title, '') || '</h1>' || coalesce(b.body, ''), chr(10) ORDER BY c.sec) || '</body>' || chr(10) || '</html>') AS html
- FROM {_CHUNKS_SQL} c JOIN (SELECT DISTINCT doc_id, novel FROM novel_files) f ON c.doc_id = f.doc_id
- LEFT JOIN (SELECT doc_id, sec, string_agg(text, chr(10) ORDER BY p) AS body FROM {PARAGRAPHS} GROUP BY doc_id, sec) b ON c.doc_id = b.doc_id AND c.sec = b.sec GROUP BY c.doc_id, c.chunk_no, f.novel"""
-)
-def split_files(spark: SparkSession, d: str) -> DataFrame:
-    """The text of each split file, built chunk by chunk."""
-    rows = W.chunks(sections(spark, d).withColumn("pos", F.col("sec").cast("bigint")), ["doc_id"], "pos", 5)
-    body = paragraphs(spark, d).groupBy("doc_id", "sec").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "text"))), lambda x: x["text"]), "\n").alias("body"))
-    part = F.concat(F.lit("<h1>"), F.coalesce("title", F.lit("")), F.lit("</h1>"), F.coalesce("body", F.lit("")))
-    segments = rows.join(body, ["doc_id", "sec"], "left").groupBy("doc_id", "chunk_no").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sec", part.alias("t")))), lambda x: x["t"]), "\n").alias("segments")
-    )
-    named = segments.join(files(spark, d).select("doc_id", "novel"), "doc_id")
-    return named.select("doc_id", "chunk_no", F.md5(F.concat(H.clean_head(F.coalesce("novel", F.lit("Unknown"))), "segments", F.lit("</body>\n</html>"))).alias("html"))
-
-
 def entries(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "catalogue").dropDuplicates(["ref_id"])
 
@@ -521,7 +505,7 @@ def counts(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def dom_nodes(spark: SparkSession, d: str) -> DataFrame:
     """Element counts of each page, its layout and what the wrapper holds directly."""
-    nodes = H.html_nodes(pages(spark, d))
+    nodes = H.html_nodes(pages(spark, d), texts=False)
     wrapper = nodes.where(H.is_wrapper()).select("doc_id", "pos")
     inside = H.children(nodes, wrapper).groupBy("doc_id").agg(F.sum(H.is_heading().cast("int")).alias("headings_in_wrapper"))
     seen = nodes.groupBy("doc_id").agg(
