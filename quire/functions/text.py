@@ -47,6 +47,7 @@ def strip_to_chapter(title: Column) -> Column:
     return F.regexp_replace(title, r"(?i)^.*?chapter\s", "Chapter ")
 
 
+# How chapter numbers are written in titles, list items and file names (the four patterns below).
 def title_number(title: Column) -> Column:
     """Chapter number of a title, ignoring case."""
     return to_int(first_group(title, r"(?i)chapter\s+(\d+)"))

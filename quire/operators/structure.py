@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quire.plans.scan import running
+from quire.plans.scan import running, running_all
 
 
 def sessionize(rows: DataFrame, keys: list[str], pos: str, boundary: Column) -> DataFrame:
@@ -80,8 +80,7 @@ def drop_title_row(rows: DataFrame, keys: list[str], pos: str, text: str, title:
 def timeline(rows: DataFrame, keys: list[str], pos: str, duration: Column) -> DataFrame:
     """Start and end of each part, and its element id from 0.  Null durations count as 0."""
     d = F.coalesce(duration, F.lit(0)).cast("bigint")
-    out = running(rows.withColumn("_d", d), keys, pos, F.col("_d"), "end_ms")
-    out = running(out, keys, pos, F.lit(1).cast("bigint"), "_n")
+    out = running_all(rows.withColumn("_d", d), keys, pos, {"end_ms": (F.col("_d"), "sum", True), "_n": (F.lit(1).cast("bigint"), "sum", True)})
     return out.withColumns({"start_ms": F.col("end_ms") - F.col("_d"), "i": F.col("_n") - 1}).withColumn("element", F.format_string("ch%03d", "i")).drop("_d", "_n")
 
 

@@ -5,9 +5,10 @@ Every query runs over its whole tables.  Repeated rows are one, as everywhere.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -15,10 +16,9 @@ from quire.functions import paths
 from quire.functions import text as S
 from quire.operators import html as H
 from quire.operators import library as L
-from quire.operators import references as R
 from quire.operators import structure as W
-from quire.session import load
-from quire.sources import readers
+from quire.session import checkpoint_dir, load
+from quire.sources import readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -42,11 +42,19 @@ PARAGRAPHS = "(SELECT DISTINCT doc_id, sec, p, text FROM paragraphs WHERE text I
 SECTIONS = "(SELECT doc_id, sec, min(link_id) AS link_id, min(title) AS title, min(chapter) AS chapter FROM sections GROUP BY doc_id, sec)"
 TOC = "(SELECT DISTINCT ref_id, doc_id, pos, link_id, title, li_html FROM toc)"
 KEPT = rf"(text <> '' AND NOT regexp_matches(text, '{S.DECORATION}') AND NOT regexp_matches(text, '^\p{{Nd}}+\.{SPACE}'))"
+_TRIMMED = "regexp_replace(title, '^ +| +$', '', 'g')"  # the reader strips lines of plain spaces
 INTEGER = "try_cast(nullif({}, '') AS BIGINT)"
 
 
 def paragraphs(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "paragraphs").select("doc_id", "sec", "p", "text").where("text is not null").distinct()
+    """Paragraphs that have a text, each once.  Chapters come together in the same shuffle, so that no window or group over them needs another."""
+    return load(spark, d, "paragraphs").select("doc_id", "sec", "p", "text").where("text is not null").repartition("doc_id", "sec").distinct()
+
+
+def paragraph_facts(spark: SparkSession, d: str, **facts: Column) -> DataFrame:
+    """(doc_id, sec, p) with what is wanted of each text; repeated rows are told by a hash, and no text is shuffled."""
+    rows = load(spark, d, "paragraphs").where("text is not null")
+    return rows.select("doc_id", "sec", "p", F.md5("text").alias("_of"), *(c.alias(n) for n, c in facts.items())).distinct().drop("_of")
 
 
 def sections(spark: SparkSession, d: str) -> DataFrame:
@@ -67,7 +75,7 @@ def files(spark: SparkSession, d: str) -> DataFrame:
 )
 def fix_encoding(spark: SparkSession, d: str) -> DataFrame:
     """S1."""
-    return paragraphs(spark, d).select("doc_id", "sec", "p", F.md5(S.fix_encoding(F.col("text"))).alias("fixed"))
+    return paragraph_facts(spark, d, fixed=F.md5(S.fix_encoding(F.col("text"))))
 
 
 @query(
@@ -133,7 +141,7 @@ def toc_first_wins(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT doc_id, sec, p, coalesce({KEPT}, false) AS kept FROM {PARAGRAPHS}")
 def story_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     """P1."""
-    return paragraphs(spark, d).select("doc_id", "sec", "p", S.is_story(F.col("text")).alias("kept"))
+    return paragraph_facts(spark, d, kept=S.is_story(F.col("text")))
 
 
 @query(
@@ -141,7 +149,7 @@ def story_paragraphs(spark: SparkSession, d: str) -> DataFrame:
 )
 def paragraph_numbers(spark: SparkSession, d: str) -> DataFrame:
     """Numbers after filtering."""
-    story = paragraphs(spark, d).where(S.is_story(F.col("text")))
+    story = paragraph_facts(spark, d, kept=S.is_story(F.col("text"))).where("kept")
     return story.select("doc_id", "sec", "p", F.row_number().over(Window.partitionBy("doc_id", "sec").orderBy("p")).alias("p_no"))
 
 
@@ -195,7 +203,7 @@ def section_bodies(spark: SparkSession, d: str) -> DataFrame:
 def concat_bytes(spark: SparkSession, d: str) -> DataFrame:
     """Ordered bytes."""
     parts = paragraphs(spark, d).select("doc_id", "sec", "p", F.encode("text", "UTF-8").alias("content"))
-    return L.concat_audio(parts, ["doc_id", "sec"], ["p"], "content").select("doc_id", "sec", "n_parts", F.md5("content").alias("content"))
+    return L.concat_audio(parts, ["doc_id", "sec"], "p", "content").select("doc_id", "sec", "n_parts", F.md5("content").alias("content"))
 
 
 # Pages: one HTML file a document, made of its table of contents and its chapters.
@@ -251,7 +259,7 @@ def page_parts(spark: SparkSession, d: str) -> DataFrame:
  QUALIFY i > 0"""
 )
 def slice_between_anchors(spark: SparkSession, d: str) -> DataFrame:
-    """S5, S8, W2, and of H12 to H14 the flat pages only: slices from heading to heading, the last to the end of the body."""
+    """Slices from heading to heading, the last to the end of the body."""
     h = F.substring(F.col("html"), F.lit(1), H.body_end(F.col("html")))
     cut = pages(spark, d).select("doc_id", F.posexplode(F.split(h, '(?=<h1 id="calibre_link-)')).alias("i", "piece")).withColumn("n", F.length("piece").cast("bigint"))
     end = F.sum("n").over(Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
@@ -284,7 +292,7 @@ _CHUNKS_SQL = f"(SELECT *, (place - 1) // 5 + 1 AS chunk_no FROM (SELECT *, row_
  FROM (SELECT doc_id, chunk_no, arg_min_null(chapter, sec) AS a, arg_max_null(chapter, sec) AS b, min(place) AS x, max(place) AS y, count(*) AS n FROM {_CHUNKS_SQL} GROUP BY doc_id, chunk_no)"""
 )
 def fixed_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """W7, G12, S16, S17, S25, J3, K1."""
+    """W7, G12, S16, S17, S25."""
     rows = W.chunks(sections(spark, d).withColumn("pos", F.col("sec").cast("bigint")), ["doc_id"], "pos", 5)
     return W.chunk_labels(rows, ["doc_id"], "pos", "chapter").select("doc_id", "chunk_no", "first_number", "last_number", "n_chapters", "label", "file")
 
@@ -336,9 +344,9 @@ def json_roundtrip(spark: SparkSession, d: str) -> DataFrame:
  FROM (SELECT doc_id, sec, p, (length(text) * 60)::BIGINT AS d FROM {PARAGRAPHS}) WINDOW w AS (PARTITION BY doc_id, sec ORDER BY p ROWS UNBOUNDED PRECEDING)"""
 )
 def timeline(spark: SparkSession, d: str) -> DataFrame:
-    """Start and end of each paragraph when read at 60 ms a character."""
-    rows = paragraphs(spark, d).withColumn("pos", F.col("p").cast("bigint"))
-    return W.timeline(rows, ["doc_id", "sec"], "pos", S.to_ms(F.length("text") * F.lit(0.06).cast("decimal(4,2)"))).select("doc_id", "sec", "p", "i", "start_ms", "end_ms", "element")
+    """Start and end of each paragraph when read at 60 ms a character."""
+    rows = paragraph_facts(spark, d, n=F.length("text")).withColumn("pos", F.col("p").cast("bigint"))
+    return W.timeline(rows, ["doc_id", "sec"], "pos", S.to_ms(F.col("n") * F.lit(0.06).cast("decimal(4,2)"))).select("doc_id", "sec", "p", "i", "start_ms", "end_ms", "element")
 
 
 _GUARD = r"'(^|[^A-Za-z])(" + S._GUARDED + r")\.(\s)', '\1\2' || chr(2) || '\3', 'g'"
@@ -349,12 +357,13 @@ _SENTENCES_SQL = (
 
 
 @query(
-    f"""SELECT doc_id, sec, p, p_no, unnest(range(1, len(l) + 1))::INT AS s, unnest(l) AS sentence, format('ch{{:03d}}_p{{:03d}}_s{{:03d}}.mp3', sec, p_no, unnest(range(1, len(l) + 1))) AS file
+    f"""SELECT doc_id, sec, 0 AS p, 0 AS p_no, 0 AS s, title AS sentence, format('ch{{:03d}}_p000_s000.mp3', sec) AS file FROM {SECTIONS} WHERE regexp_replace(title, '^{SPACE}+|{SPACE}+$', '', 'g') <> ''
+ UNION ALL SELECT doc_id, sec, p, p_no, unnest(range(1, len(l) + 1))::INT AS s, unnest(l) AS sentence, format('ch{{:03d}}_p{{:03d}}_s{{:03d}}.mp3', sec, p_no, unnest(range(1, len(l) + 1))) AS file
  FROM (SELECT doc_id, sec, p, p_no, {_SENTENCES_SQL} AS l FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, sec ORDER BY p) AS p_no FROM {PARAGRAPHS} WHERE {KEPT}))"""
 )
 def sentence_manifest(spark: SparkSession, d: str) -> DataFrame:
-    """S15, P19, W5, S9, S10, D7."""
-    return L.manifest(paragraphs(spark, d), ["doc_id", "sec"], F.col("sec")).select("doc_id", "sec", "p", "p_no", "s", "sentence", "file")
+    """Titles and sentences to be read."""
+    return L.manifest(paragraphs(spark, d), ["doc_id", "sec"], F.col("sec"), sections(spark, d)).select("doc_id", "sec", "p", "p_no", "s", "sentence", "file")
 
 
 @query(
@@ -401,7 +410,7 @@ def select_list(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT r AS chapter, r IN (SELECT chapter FROM sections WHERE chapter IS NOT NULL) AS available FROM range(1, 2501) t(r)")
 def requested_chapters(spark: SparkSession, d: str) -> DataFrame:
-    """U1, U2, U3, O2, O4, P10."""
+    """U1, U2, U3, O2, O4."""
     return L.requested(load(spark, d, "sections"), "chapter", 1, 2500)
 
 
@@ -440,16 +449,16 @@ def drop_title_row(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT doc_id, sec, 'Chapter ' || coalesce(chapter, sec) AS tit2, 'APIC|COMM|TALB|TCON|TIT2|TPE1|TRCK|XTRA' AS frames, CASE WHEN sec % 2 = 0 THEN 'image/png' ELSE 'image/jpeg' END AS mime FROM {SECTIONS}"""
+    f"""SELECT doc_id, sec, 'Chapter ' || coalesce(chapter, sec) AS tit2, 'APIC|COMM|TALB|TCON|TIT2|TPE1|TRCK|XTRA' AS frames, 'album/artist' AS shared, CASE WHEN sec % 2 = 0 THEN 'image/png' ELSE 'image/jpeg' END AS mime FROM {SECTIONS}"""
 )
 def tag_upsert(spark: SparkSession, d: str) -> DataFrame:
-    """K8, K9, S22, S27, D13, A10."""
-    n = F.coalesce("chapter", "sec").cast("string")
+    """K8, K9, S22, S27, A13, D13, D15."""
+    meta = L.TagMeta("default", "artist", "genre", "note").over(album="album", artist="")
     old = F.create_map(F.lit("TIT2"), F.lit("old"), F.lit("XTRA"), F.lit("kept"))
-    new = F.create_map(*[x for k, v in (("TIT2", F.concat(F.lit("Chapter "), n)), ("TALB", F.lit("album")), ("TPE1", F.lit("artist")), ("TRCK", n), ("TCON", F.lit("genre")), ("COMM", F.lit("note"))) for x in (F.lit(k), v)])
+    new = meta.frames(F.coalesce("chapter", "sec"))
     cover = F.when(F.col("sec") % 2 == 0, F.unhex(F.lit("89504E470D0A1A0A00"))).otherwise(F.unhex(F.lit("FFD8FF")))
     tags = sections(spark, d).select("doc_id", "sec", L.upsert_tags(old, new, cover).alias("t"))
-    return tags.select("doc_id", "sec", F.col("t")["TIT2"].alias("tit2"), F.array_join(F.array_sort(F.map_keys("t")), "|").alias("frames"), F.col("t")["APIC"].alias("mime"))
+    return tags.select("doc_id", "sec", F.col("t")["TIT2"].alias("tit2"), F.array_join(F.array_sort(F.map_keys("t")), "|").alias("frames"), F.concat_ws("/", F.col("t")["TALB"], F.col("t")["TPE1"]).alias("shared"), F.col("t")["APIC"].alias("mime"))
 
 
 @query("SELECT k, pow(2, k - 1)::DOUBLE AS wait_s, sum(pow(2, k - 1)) OVER (ORDER BY k)::DOUBLE AS waited_s FROM range(1, 6) t(k)")
@@ -462,13 +471,13 @@ def retry_schedule(spark: SparkSession, d: str) -> DataFrame:
     f"""SELECT doc_id, sec, 'Chapter - ' || (n + 1) AS label FROM (SELECT *, {INTEGER.format("regexp_extract(link_id, '^calibre_link-([0-9]+)$', 1)")} AS n FROM {SECTIONS})"""
 )
 def browser_labels(spark: SparkSession, d: str) -> DataFrame:
-    """H25, K12, P16."""
+    """H25."""
     return sections(spark, d).select("doc_id", "sec", H.label(F.col("link_id")).alias("label"))
 
 
 @query(f"SELECT doc_id, sec, link_id || '|' || title AS line, link_id, title FROM {SECTIONS} WHERE title IS NOT NULL")
 def header_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Lines written and split again, once."""
+    """Lines written and split again, once."""
     line = sections(spark, d).where("title is not null").select("doc_id", "sec", F.concat_ws("|", "link_id", "title").alias("line"))
     parts = F.split("line", r"\|", 2)
     return line.select("doc_id", "sec", "line", parts[0].alias("link_id"), parts[1].alias("title"))
@@ -479,7 +488,7 @@ def header_lines(spark: SparkSession, d: str) -> DataFrame:
  FROM sections, range(1, 3) t(k))"""
 )
 def track_listing(spark: SparkSession, d: str) -> DataFrame:
-    """Over a listing made of the chapters' numbers."""
+    """Over a listing made of the chapters' numbers."""
     base = load(spark, d, "sections").select("sec").distinct().withColumn("k", F.explode(F.array(F.lit(1), F.lit(2))))
     folder = F.concat(F.lit("audio/chapter_"), "sec", F.lit("/"))
     take = F.concat(folder, F.lit("take"), F.col("k").cast("string"), F.lit("_chapter_"), "sec", F.lit(".mp3"))
@@ -504,7 +513,7 @@ def counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def dom_nodes(spark: SparkSession, d: str) -> DataFrame:
-    """Element counts of each page, its layout and what the wrapper holds directly."""
+    """Element counts of each page, its layout and what the wrapper holds directly."""
     nodes = H.html_nodes(pages(spark, d), texts=False)
     wrapper = nodes.where(H.is_wrapper()).select("doc_id", "pos")
     inside = H.children(nodes, wrapper).groupBy("doc_id").agg(F.sum(H.is_heading().cast("int")).alias("headings_in_wrapper"))
@@ -515,5 +524,72 @@ def dom_nodes(spark: SparkSession, d: str) -> DataFrame:
     return seen.join(inside, "doc_id", "left").withColumn("layout", F.when(F.col("n_divs") > 0, "div").otherwise("flat"))
 
 
-QUERIES["p4_found"] = R.p4_found
-QUERIES["p4_report"] = R.p4_report
+@query(
+    f"""SELECT doc_id, coalesce(min(chapter), 0) AS first, coalesce(max(chapter), 0) AS last, array_to_string(list_sort(coalesce(list(DISTINCT chapter) FILTER (chapter BETWEEN 5 AND 9), [])), ',') AS found,
+ array_to_string(list_filter(range(5, 10), lambda x: NOT list_contains(coalesce(list(DISTINCT chapter) FILTER (chapter BETWEEN 5 AND 9), []), x)), ',') AS missing,
+ CASE count(DISTINCT chapter) FILTER (chapter BETWEEN 5 AND 9) WHEN 0 THEN 'error' WHEN 5 THEN 'ok' ELSE 'warning' END AS status FROM {SECTIONS} GROUP BY doc_id"""
+)
+def selection_report(spark: SparkSession, d: str) -> DataFrame:
+    """What a selection of chapters 5 to 9 finds in each file."""
+    got = L.selection_report(sections(spark, d), ["doc_id"], "chapter", list(range(5, 10)))
+    return got.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("found", "missing")})
+
+
+@query(
+    """SELECT path, try_cast(coalesce(nullif(regexp_extract(name, '(?i)chapter[_-]?([0-9]+)', 1), ''), nullif(regexp_extract(name, '(?i)ch([0-9]+)', 1), '')) AS BIGINT) AS number,
+ NOT regexp_matches(name, '(?i)ch(apter[_-]?)?[0-9]') AS rejected FROM (SELECT DISTINCT path, regexp_extract(path, '[^/]*$') AS name FROM (SELECT CASE sec % 4 WHEN 0 THEN 'a/chapter_' || sec || '.mp3' WHEN 1 THEN 'a/CHAPTER-' || sec || '.mp3' WHEN 2 THEN 'b/x_ch' || sec || '_p000.mp3' ELSE 'chapter_1/note' || sec || '.mp3' END AS path FROM sections))"""
+)
+def track_rejects(spark: SparkSession, d: str) -> DataFrame:
+    """Chapter numbers of files by name, and the files without one."""
+    n = F.col("sec").cast("string")
+    path = F.when(F.col("sec") % 4 == 0, F.concat(F.lit("a/chapter_"), n)).when(F.col("sec") % 4 == 1, F.concat(F.lit("a/CHAPTER-"), n)).when(F.col("sec") % 4 == 2, F.concat(F.lit("b/x_ch"), n, F.lit("_p000"))).otherwise(F.concat(F.lit("chapter_1/note"), n))
+    return L.tracks_and_rejects(load(spark, d, "sections").select(F.concat(path, F.lit(".mp3")).alias("path")).distinct())
+
+
+@query(
+    f"""SELECT doc_id, 2 + count(*) AS n_frames, md5(string_agg('CHAP:' || element || '=' || start_ms || '|' || end_ms || '|' || title, chr(10) ORDER BY i)) AS chapters, string_agg(element, '|' ORDER BY i) AS toc
+ FROM (SELECT doc_id, i, title, format('ch{{:03d}}', i) AS element, sum(d) OVER w - d AS start_ms, sum(d) OVER w AS end_ms FROM (SELECT doc_id, sec, coalesce(title, '') AS title, row_number() OVER (PARTITION BY doc_id ORDER BY sec) - 1 AS i, 1000 + coalesce(chapter, 0) AS d FROM {SECTIONS}) WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING)) GROUP BY doc_id"""
+)
+def chapter_frames(spark: SparkSession, d: str) -> DataFrame:
+    """Chapter frames of a book of each file; frames of these kinds that were there go, others stay."""
+    rows = sections(spark, d).withColumn("pos", F.col("sec").cast("bigint"))
+    timed = W.timeline(rows, ["doc_id"], "pos", F.lit(1000) + F.coalesce("chapter", F.lit(0)))
+    books = timed.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", "element", F.coalesce("title", F.lit("")).alias("title"), "start_ms", "end_ms"))).alias("c"))
+    old = F.create_map(F.lit("CHAP:ch000"), F.lit("old"), F.lit("CTOC:old"), F.lit("old"), F.lit("TIT2"), F.lit("kept"))
+    frames = books.select("doc_id", "c", L.chapter_frames(old, F.col("c")).alias("f"))
+    own = F.transform("c", lambda x: F.concat(F.lit("CHAP:"), x["element"], F.lit("="), F.col("f")[F.concat(F.lit("CHAP:"), x["element"])]))
+    return frames.select("doc_id", F.size("f").cast("bigint").alias("n_frames"), F.md5(F.array_join(own, "\n")).alias("chapters"), F.col("f")["CTOC:toc"].alias("toc"))
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(
+    f"""SELECT doc_id, sec, md5(replace(replace(string_agg(text, chr(10) ORDER BY p), chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS content FROM {PARAGRAPHS} GROUP BY doc_id, sec"""
+)
+def written_chapters(spark: SparkSession, d: str) -> DataFrame:
+    """Chapters written as files of their own names, listed, and read again."""
+    root = _folder(spark, "chapters")
+    body = paragraphs(spark, d).groupBy("doc_id", "sec").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "text"))), lambda x: x["text"]), "\n").alias("html"))
+    writers.write_named(body.select(F.format_string("%d/%d.html", "doc_id", "sec").alias("path"), "html"), root)
+    files_ = readers.files(spark, root, "*.html", recursive=True, content=True)
+    place = F.split(paths.parent(F.col("path")), "/")
+    return files_.select(F.element_at(place, -1).cast("bigint").alias("doc_id"), paths.stem(F.col("path")).cast("int").alias("sec"), F.md5(readers.decode(F.col("content"), "latin1")).alias("content"))
+
+
+@query(f"SELECT link_id, md5(title) AS title, true AS ok, count(*) AS n FROM (SELECT link_id, {_TRIMMED} AS title FROM {SECTIONS} WHERE link_id IS NOT NULL AND title IS NOT NULL AND NOT contains(title, chr(10)) AND NOT contains(title, chr(13))) GROUP BY ALL")
+def written_headers(spark: SparkSession, d: str) -> DataFrame:
+    """K2, A3: header lines written and read again; a title may hold the sign between."""
+    root = _folder(spark, "headers")
+    rows = sections(spark, d).where("link_id is not null and title is not null and not contains(title, '\n') and not contains(title, '\r')")
+    writers.header_lines(rows.withColumn("pos", F.struct("doc_id", "sec")), root)
+    return readers.header_lines(spark, root).groupBy("link_id", F.md5("title").alias("title"), "ok").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT novel, title, chapters['start'] AS a, chapters['end'] AS b, path, count(*) AS n FROM {_ENTRIES_SQL} GROUP BY ALL")
+def written_catalogue(spark: SparkSession, d: str) -> DataFrame:
+    """K4, A4, A5: the catalogue written as one indented array and read again."""
+    path = f"{_folder(spark, 'library')}/library.json"
+    writers.catalogue(L.sort_catalogue(entries(spark, d), "ref_id"), path)
+    return readers.listed_catalogue(spark, path).groupBy("novel", "title", F.col("chapters.start").alias("a"), F.col("chapters.end").alias("b"), "path").agg(F.count(F.lit(1)).alias("n"))

@@ -20,16 +20,26 @@ def running(df: DataFrame, keys: list[str], pos: str, value: Column, into: str,
     ``pos`` is an integer order, unique in its group.  Nulls are skipped; without a value
     so far the result is null.  Without ``inclusive`` the row itself is not counted.
     """
-    agg = {"sum": F.sum, "max": F.max}[how]
-    both = {"sum": lambda a, b: a + b, "max": F.greatest}[how]
-    marked = df.withColumn("_value", value).withColumn("_block", F.floor(F.col(pos) / F.lit(block)))
-    end = Window.currentRow if inclusive else -1
-    local = marked.withColumn("_local", agg("_value").over(Window.partitionBy(*keys, "_block").orderBy(pos).rowsBetween(Window.unboundedPreceding, end)))
-    totals = marked.groupBy(*keys, "_block").agg(agg("_value").alias("_total"))
-    carried = totals.withColumn("_carry", agg("_total").over(Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)))
-    joined = local.alias("l").join(
-        carried.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_block").alias("_b"), "_carry"),
-        F.expr(" and ".join([f"`{k}` <=> `_k_{k}`" for k in keys] + ["_block <=> _b"])),
-    )
-    result = F.when(F.col("_local").isNull(), F.col("_carry")).when(F.col("_carry").isNull(), F.col("_local")).otherwise(both(F.col("_local"), F.col("_carry")))
-    return joined.withColumn(into, result).drop("_value", "_block", "_b", "_local", "_carry", *[f"_k_{k}" for k in keys])
+    return running_all(df, keys, pos, {into: (value, how, inclusive)}, block)
+
+
+def running_all(df: DataFrame, keys: list[str], pos: str, wanted: dict[str, tuple[Column, str, bool]], block: int = BLOCK) -> DataFrame:
+    """``running`` for several columns in one pass: name -> (value, how, inclusive)."""
+    agg = {"sum": F.sum, "max": F.max}
+    marked = df.withColumns({f"_v_{n}": v for n, (v, _, _) in wanted.items()}).withColumn("_block", F.floor(F.col(pos) / F.lit(block)))
+    local = marked
+    for n, (_, how, inclusive) in wanted.items():
+        frame = Window.partitionBy(*keys, "_block").orderBy(pos).rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
+        local = local.withColumn(f"_l_{n}", agg[how](f"_v_{n}").over(frame))
+    totals = marked.groupBy(*keys, "_block").agg(*(agg[how](f"_v_{n}").alias(f"_t_{n}") for n, (_, how, _) in wanted.items()))
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_block").alias("_b"), *(agg[how](f"_t_{n}").over(before).alias(f"_c_{n}") for n, (_, how, _) in wanted.items()))
+    joined = local.join(carried, F.expr(" and ".join([f"`{k}` <=> `_k_{k}`" for k in keys] + ["_block <=> _b"])))
+
+    def merged(n: str, how: str) -> Column:
+        here, carry = F.col(f"_l_{n}"), F.col(f"_c_{n}")
+        both = here + carry if how == "sum" else F.greatest(here, carry)
+        return F.when(here.isNull(), carry).when(carry.isNull(), here).otherwise(both)
+
+    out = joined.withColumns({n: merged(n, how) for n, (_, how, _) in wanted.items()})
+    return out.drop("_block", "_b", *(f"_{c}_{n}" for c in "vlc" for n in wanted), *[f"_k_{k}" for k in keys])

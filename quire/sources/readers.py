@@ -52,12 +52,37 @@ def catalogue(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CATALOGUE).json(path, multiLine=True)
 
 
+def listed_catalogue(spark: SparkSession, path: str) -> DataFrame:
+    """A5: entries of a catalogue that has to be there: an error if it is missing, and if it holds no entry."""
+    if not exists(spark, path):
+        raise FileNotFoundError(f"cannot load the catalogue {path}")
+    entries = catalogue(spark, path)
+    if entries.isEmpty():
+        raise ValueError("the library has no entries yet")
+    return entries
+
+
 def files(spark: SparkSession, root: str, glob: str = "*", recursive: bool = False, content: bool = False) -> DataFrame:
-    """Listing (path, length, modificationTime), with content only if asked for."""
+    """Listing (path, length, modificationTime), with content only if asked for; an error if the directory is missing."""
+    if not exists(spark, root):
+        raise FileNotFoundError(f"directory not found: {root}")
     got = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower()).load(root)
     return got.select("path", "length", "modificationTime", *(["content"] if content else []))
 
 
+def covers(spark: SparkSession, wanted: DataFrame, path: str = "path") -> DataFrame:
+    """``wanted`` with the bytes of each file as ``content``: NULL, and ``missing`` true, where there is no such file.
+
+    ``wanted`` names few files (one a book); absent ones are not read.
+    """
+    there = [r[0] for r in wanted.select(path).where(F.col(path).isNotNull()).distinct().toLocalIterator() if exists(spark, r[0])]
+    bare = lambda c: F.regexp_replace(c, r"^file:/+", "/")
+    if not there:
+        return wanted.withColumns({"content": F.lit(None).cast("binary"), "missing": F.lit(True)})
+    found = spark.read.format("binaryFile").load(there).select(bare(F.col("path")).alias("_at"), "content")
+    return wanted.join(found, bare(F.col(path)) == F.col("_at"), "left").drop("_at").withColumn("missing", F.col("content").isNull())
+
+
 def parser_config(spark: SparkSession, rows: list[dict]) -> DataFrame:
     """The configuration dimension; absent keys are null, flags false."""
     names = [c.split(" ")[0] for c in PARSER_CONFIG.split(", ")]

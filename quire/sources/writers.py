@@ -1,26 +1,35 @@
-"""Sinks (K1 to K4).  Operators return DataFrames; these put them into files."""
+"""Sinks (K1 to K4).  Operators return DataFrames; these put them into files, on any file system that a URI names."""
 
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Iterator
 
+import pyarrow.fs
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 
+def replace_file(path: str, content: bytes) -> None:
+    """K3: a file's new content: written beside it first and then moved over it, so that a reader sees one or the other."""
+    system, at = pyarrow.fs.FileSystem.from_uri(path)
+    folder = at.rpartition("/")[0]
+    if folder:
+        system.create_dir(folder, recursive=True)
+    with system.open_output_stream(f"{at}.part") as f:
+        f.write(content)
+    system.move(f"{at}.part", at)
+
+
 def write_named(df: DataFrame, root: str, name: str = "path", text: str = "html") -> None:
-    """K1: one file a row, named by the data, on a file system that all executors share; an equal name overwrites."""
+    """K1, K3: one file a row, named by the data, below a folder that all executors share; an equal name overwrites.
+
+    A null text is an empty file.
+    """
 
     def put(rows: Iterator[Row]) -> None:
         for r in rows:
-            target = os.path.join(root, r[name])
-            os.makedirs(os.path.dirname(target), exist_ok=True)
-            part = f"{target}.part"
-            with open(part, "w", encoding="utf-8") as f:
-                f.write(r[text] or "")
-            os.replace(part, target)
+            replace_file(f"{root.rstrip('/')}/{r[name]}", (r[text] or "").encode("utf-8"))
 
     df.select(name, text).foreachPartition(put)
 
@@ -36,5 +45,4 @@ def catalogue(df: DataFrame, path: str) -> None:
     A catalogue is small (one entry a file of the library) and read whole by a browser.
     """
     rows = [json.loads(r[0]) for r in df.select(F.to_json(F.struct("novel", "title", "chapters", "path"))).toLocalIterator()]
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(rows, f, indent=2)
+    replace_file(path, json.dumps(rows, indent=2).encode("utf-8"))
