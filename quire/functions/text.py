@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 _BLANKS = r"\s\p{Z}\x1c-\x1f\x{85}"
 SPACE = f"[{_BLANKS}]"
+# Where a pattern has a dot, (?d) keeps all but the line feed in it.
 DECORATION = rf"^[~\-*=`{_BLANKS}]+$"  # one class, no group: a group recurses once a character
 # C1 characters that leak from Windows-1252 and what they stand for.
 LEAKED, MEANT = "\u0093\u0094\u0091\u0092\u0096\u0097\u0085", "“”‘’–—…"
@@ -44,7 +45,7 @@ def link_number(link: Column) -> Column:
 
 def strip_to_chapter(title: Column) -> Column:
     """Everything before the first ``Chapter`` goes, in any case of letters."""
-    return F.regexp_replace(title, r"(?i)^.*?chapter\s", "Chapter ")
+    return F.regexp_replace(title, r"(?id)^.*?chapter\s", "Chapter ")
 
 
 # How chapter numbers are written in titles, list items and file names (the four patterns below).
@@ -70,7 +71,7 @@ def chapter_index(title: Column, link: Column, offset: Column, from_title: Colum
 
 def trusted_title(inline: Column, listed: Column) -> Column:
     """The inline title if it names a chapter and a number, else the listed one, else ''."""
-    return F.when(inline.rlike(r"(?i)\bchapter\b.*\d"), inline).otherwise(F.coalesce(listed, F.lit("")))
+    return F.when(inline.rlike(r"(?id)\bchapter\b.*\d"), inline).otherwise(F.coalesce(listed, F.lit("")))
 
 
 def falsy(text: Column, other: Column) -> Column:

@@ -171,7 +171,7 @@ def toc_links(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def title(html: Column) -> Column:
     """First title element, as it is even if empty; ``Unknown`` without one."""
-    pattern = r"(?i)<title>(.*?)</title>"
+    pattern = r"(?id)<title>(.*?)</title>"
     return F.when(html.rlike(pattern), F.regexp_extract(html, pattern, 1)).otherwise("Unknown")
 
 
@@ -190,8 +190,8 @@ def footer(html: Column) -> Column:
 
 def body_end(html: Column) -> Column:
     """Offset of the body's end tag, in any case of letters, else the length."""
-    at = F.regexp_instr(html, F.lit("(?i)</body"))
-    return F.when(at > 0, at - 1).otherwise(F.length(html))
+    # Not regexp_instr, which counts a character beyond the basic plane as two.
+    return F.length(F.split(html, "(?i)</body", 2)[0])
 
 
 def toc_block(html: Column) -> Column:
@@ -206,7 +206,7 @@ def list_items(markup: Column) -> Column:
 
 def headers(html: Column) -> Column:
     """Array of STRUCT<link_id, title> of headings on one line; the inside is kept raw."""
-    pattern = F.lit(r'<h1 id="(calibre_link-\d+)" class="calibre1">(.*?)</h1>')
+    pattern = F.lit(r'(?d)<h1 id="(calibre_link-\d+)" class="calibre1">(.*?)</h1>')
     return F.transform(
         F.arrays_zip(F.regexp_extract_all(html, pattern, F.lit(1)).alias("a"), F.regexp_extract_all(html, pattern, F.lit(2)).alias("b")),
         lambda x: F.struct(x["a"].alias("link_id"), x["b"].alias("title")),

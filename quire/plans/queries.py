@@ -511,7 +511,10 @@ def counts(spark: SparkSession, d: str) -> DataFrame:
     return rows.agg(*[F.max(F.when(F.col("what") == n, F.col("n"))).alias(n) for n in parts])
 
 
-@query()
+@query(
+    f"""SELECT doc_id, len(regexp_extract_all(html, '<[a-zA-Z]')) AS n_nodes, len(regexp_extract_all(html, '<h1 id="calibre_link-')) AS n_headings, len(regexp_extract_all(html, '<p class="calibre2">')) AS n_paragraphs,
+ len(regexp_extract_all(html, '<h1 id="calibre_link-')) AS headings_in_wrapper, 0 AS n_divs, 'flat' AS layout FROM {_PAGES_SQL}"""
+)
 def dom_nodes(spark: SparkSession, d: str) -> DataFrame:
     """Element counts of each page, its layout and what the wrapper holds directly."""
     nodes = H.html_nodes(pages(spark, d), texts=False)

@@ -34,6 +34,33 @@ def write_named(df: DataFrame, root: str, name: str = "path", text: str = "html"
     df.select(name, text).foreachPartition(put)
 
 
+def write_lines(df: DataFrame, root: str, name: str, order: list[str], text: str) -> None:
+    """One text file a ``name``, its rows' texts as lines in ``order``: streamed, so that no file is held as a whole.
+
+    A null text is an empty line.
+    """
+
+    def put(rows: Iterator[Row]) -> None:
+        system, at = pyarrow.fs.FileSystem.from_uri(root)
+        system.create_dir(at, recursive=True)
+        now, out = None, None
+        for r in rows:
+            if out is None or r[name] != now:
+                if out is not None:
+                    close(system, out, at, now)
+                now = r[name]
+                out = system.open_output_stream(f"{at}/{now}.txt.part")
+            out.write(((r[text] or "") + "\n").encode("utf-8", "replace"))
+        if out is not None:
+            close(system, out, at, now)
+
+    def close(system, out, at: str, now: str) -> None:
+        out.close()
+        system.move(f"{at}/{now}.txt.part", f"{at}/{now}.txt")
+
+    df.select(name, *order, text).repartition(name).sortWithinPartitions(name, *order).foreachPartition(put)
+
+
 def header_lines(df: DataFrame, root: str) -> None:
     """K2: ``link_id|title`` lines in order of ``pos``."""
     df.orderBy("pos").select(F.concat_ws("|", "link_id", "title")).write.mode("overwrite").text(root)

@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from quire.functions import paths
 from quire.functions import text as S
 from quire.operators import bloom
+from quire.operators import chapters as C
 from quire.operators import html as H
 from quire.operators import library as L
 from quire.operators import references as R
 from quire.operators import structure as W
 from quire.plans.scan import running
 from quire.session import once
-from quire.sources import readers, writers
+from quire.sources import audio, readers, writers
 
 
 def rows(df):
@@ -114,7 +115,13 @@ def test_selection_and_requests(spark):
     assert L.select_chapters(df, "ch", span=(5, 1)).count() == 0 and L.select_chapters(df, "ch", one=2).count() == 2
     with pytest.raises(ValueError):
         L.select_chapters(df, "ch", one=1, several=[1])
-    assert rows(L.requested(df, "ch", 2, 3)) == [(2, True), (3, False)] and L.requested(df, "ch", 3, 2).count() == 0
+    assert [tuple(r) for r in L.requested(df, "ch", 2, 3).collect()] == [(2, True), (3, False)] and L.requested(df, "ch", 3, 2).count() == 0
+    groups = spark.createDataFrame([("a", 1), ("a", 2), ("b", 2), ("c", None), ("d", 9)], "g string, ch long")
+    got = {r.g: (r["first"], r["last"], r.found, r.missing, r.status) for r in L.selection_report(groups, ["g"], "ch", [2, 1, 2]).collect()}
+    assert got == {"a": (1, 2, [1, 2], [], "ok"), "b": (2, 2, [2], [1], "warning"), "c": (0, 0, [], [1, 2], "error"), "d": (9, 9, [], [1, 2], "error")}
+    assert L.selection_report(groups, ["g"], "ch", []).where("status <> 'error'").count() == 0
+    with pytest.raises(ValueError):
+        L.selected(df, "ch", one=77)
 
 
 def test_manifest_resume_and_voice(spark):
@@ -123,8 +130,30 @@ def test_manifest_resume_and_voice(spark):
     assert [r.file for r in work.orderBy("s").collect()] == ["ch001_p001_s001.mp3", "ch001_p001_s002.mp3"]
     out = spark.createDataFrame([("ch001_p001_s001.mp3", 0), ("ch001_p001_s002.mp3", 5)], "file string, length int")
     assert [r.file for r in L.todo(work, out, ["file"]).collect()] == ["ch001_p001_s001.mp3"]
-    spoken = L.synthesize(work, lambda t: None if t == "One." else t.encode(), parallel=1)
+    spoken = L.synthesize(work, lambda t: None if t == "One." else t.encode(), parallel=1, base=0.0)
     assert [(r.file, bytes(r.audio)) for r in spoken.collect()] == [("ch001_p001_s002.mp3", b"Two!")]
+    titled = L.manifest(df, ["doc_id", "sec"], F.col("sec"), spark.createDataFrame([(1, 1, "T"), (1, 2, " "), (1, 3, None)], "doc_id int, sec int, title string"))
+    assert sorted(r.file for r in titled.collect()) == ["ch001_p000_s000.mp3", "ch001_p001_s001.mp3", "ch001_p001_s002.mp3"]
+
+
+def test_voice_is_tried_again_before_a_text_is_skipped(spark, tmp_path):
+    calls = tmp_path / "calls"
+
+    def speak(text):
+        with open(calls, "a") as f:
+            f.write(text + "\n")
+        n = calls.read_text().split("\n").count(text)
+        if text == "late":
+            return b"x" if n == 3 else None
+        if text == "never":
+            return None
+        raise OSError("down")
+
+    df = spark.createDataFrame([("a", "late"), ("b", "never")], "file string, sentence string")
+    assert [(r.file, bytes(r.audio)) for r in L.synthesize(df, speak, parallel=1, base=0.0).collect()] == [("a", b"x")]
+    assert calls.read_text().split("\n").count("never") == 5
+    with pytest.raises(Exception, match="down"):
+        L.synthesize(spark.createDataFrame([("c", "broken")], "file string, sentence string"), speak, parallel=1, base=0.0).collect()
 
 
 def test_tags_drop_the_old_picture(spark):
@@ -143,6 +172,10 @@ def test_html_nodes(spark):
     assert (p.text, p.joined, p.direct, p.classes) == ("a b c", "abc", "a c", ["calibre2", "x"])
     assert [(r.href, r.joined) for r in H.toc_links(nodes).collect()] == [("#calibre_link-1", "One")]
     assert H.select_first(nodes, nodes.where(H.is_wrapper()), "h1 b").first().text == "1"
+    assert H.select_first(nodes, nodes.where("tag = 'h1'"), "div.calibre h1 b").first().text == "1"
+    assert H.select_first(nodes, nodes.where("tag = 'h1'"), "p.calibre2 b").count() == 0
+    bare = H.html_nodes(spark.createDataFrame([(1, HTML)], "doc_id int, html string"), texts=False)
+    assert bare.count() == nodes.count() and bare.where("text is not null or direct is not null").count() == 0
 
 
 def test_split_layout_leaves_the_wrapper_without_headings(spark):
@@ -202,3 +235,108 @@ def test_story_filter_takes_very_long_decoration(spark):
 def test_once_drops_repeated_rows_only(spark):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (None, None), (None, None), (2, None)], "k int, t string")
     assert rows(once(df, ["k"])) == [(1, "a"), (1, "b"), (2, None), (None, None)] and once(df.limit(0), ["k"]).count() == 0
+
+
+def _page(toc, body, end="</body></html>"):
+    return "<html><body>" + "".join(f'<a href="#calibre_link-{i}">x</a>' for i in toc) + body + end
+
+
+def test_segments_of_headings(spark):
+    sep, h1 = '<div class="calibre3" id="s"> </div>', lambda n: f'<h1 class="calibre1" id="calibre_link-{n}">C{n}</h1>'
+    pages = [
+        (1, _page([1, 2, 3], h1(1) + "a😀" + sep + h1(2) + "b" + sep + h1(9) + "no" + sep + h1(3) + "c", "</BODY></html>tail")),
+        (2, _page([1, 2], "x" + sep + h1(1) + h1(2) + "both")),
+        (3, _page([4], "no chapters")), (4, None), (5, ""),
+        (6, _page([7, 8], h1(7) + "end", "")),
+    ]
+    got = {(r.doc_id, r.cid): r.html for r in C.segments(spark.createDataFrame(pages, "doc_id int, html string")).collect()}
+    assert got == {(1, "1"): h1(1) + "a😀", (1, "2"): sep + h1(2) + "b", (1, "3"): sep + h1(3) + "c", (2, "1"): "", (2, "2"): sep + h1(1) + h1(2) + "both", (6, "7"): h1(7) + "end"}
+    assert C.segments(spark.createDataFrame([], "doc_id int, html string")).count() == 0
+
+
+def test_segments_of_divisions(spark):
+    div = lambda n: f'<div\n x="1" class="calibre" id="calibre_link-{n}">'
+    html = _page([2, 1, 2], div(0) + div(1) + "a</div>" + div(5) + "skip</div>" + div(2) + '<h1 id="calibre_link-1">b</h1></div>')
+    got = {r.cid: r.html for r in C.segments(spark.createDataFrame([(1, html)], "doc_id int, html string")).collect()}
+    assert got == {"1": div(1) + "a</div>", "2": div(2) + '<h1 id="calibre_link-1">b</h1></div>'}
+
+
+def test_split_pages_rebuild_their_table(spark):
+    items = "".join(f'<li><a href="#calibre_link-{i}">Chapter {i + 100}: T</a></li>' for i in (1, 2)) + '<li><a href="#calibre_link-3">Epilogue</a></li>'
+    html = f'<html><title>N</title><body><nav role="doc-toc"><h2 class="x">All</h2><ol>{items}</ol></nav>' + "".join(f'<h1 id="calibre_link-{i}">{i}</h1>t{i}' for i in (1, 2, 3)) + "</body>\n</html>"
+    got = C.split_pages(spark.createDataFrame([(1, html), (2, "<body>none</body>")], "doc_id int, html string"), 2).orderBy("chunk_no").collect()
+    assert [(r.chunk_no, r.label, r.file, r.n_segments, r.n_items) for r in got] == [(1, "Chapters 101 - 102", "index_101_102.html", 2, 3), (2, "Chapters 3 - 3", "index_3_3.html", 1, 3)]
+    assert got[0].html.startswith('<html><head>\n    <meta charset="utf-8">') and '<h2 class="x">Chapters 101 - 102</h2>' in got[0].html and got[0].html.endswith('<h1 id="calibre_link-2">2</h1>t2\n</body>\n</html>')
+    assert "Epilogue" in got[1].html and "Chapter 101" not in got[1].html
+
+
+def test_chapters_of_both_layouts(spark):
+    nav = '<nav role="doc-toc"><a href="#calibre_link-1">Book - Chapter 1: A</a><a href="#calibre_link-2">Chapter 2</a><a href="#calibre_link-2">Chapter 2: B</a></nav>'
+    flat = f'<div class="calibre" id="calibre_link-0">{nav}<p class="calibre2">before</p><h1 id="calibre_link-1">Chapter <b>7</b></h1><p class="x calibre2">one <i>two</i></p><p class="calibre2">***</p><p>other</p><h1 id="calibre_link-2"></h1><p class="calibre2">lost</p></div>'
+    df = lambda h: spark.createDataFrame([(1, h), (2, None)], "doc_id int, html string")
+    got = C.parse_chapters(df(flat), {"para_class": "calibre2", "flat_layout": True, "chapter_num_from_title": True})
+    assert rows(got.select("link_id", "title", "chapter", "p", "text")) == [("calibre_link-1", "Chapter7", 1, 1, "one two")]
+    div = nav + '<div class="calibre" id="calibre_link-1"><p class="t c4">Chapter 1<!-- x -->: A<i>!</i></p><p class="c4">a</p><p class="c4">1. note</p></div><div class="calibre" id="calibre_link-2"><p class="c4">Chapter 2: B</p><p class="c4">b</p><p class="c4">Chapter 2: B</p></div><div class="calibre" id="calibre_link-3"><p class="c4">untitled</p></div>'
+    got = C.parse_chapters(df(div), {"para_class": "c4", "title_selector": "p.t", "id_offset": 1, "title_strip_prefix": True})
+    assert rows(got.select("link_id", "title", "chapter", "p", "text")) == [("calibre_link-1", "Chapter 1 x : A", 0, 1, "a"), ("calibre_link-2", "Chapter 2: B", 1, 1, "b"), ("calibre_link-2", "Chapter 2: B", 1, 2, "Chapter 2: B")]
+
+
+def test_labels_stand_after_their_divisions(spark):
+    html = '<div class="calibre" id="calibre_link-0"></div><div class="x calibre" id="calibre_link-4"><div class="calibre1" id="calibre_link-5"></div></div><p class="calibre" id="calibre_link-6"></p>'
+    got = C.label_rows(H.html_nodes(spark.createDataFrame([(1, html)], "doc_id int, html string"), texts=False)).orderBy("pos", "place")
+    assert [r.text for r in got.collect()] == ["calibre_link-0", "Chapter - 1", "calibre_link-4", "Chapter - 5"]
+
+
+def test_rows_are_paired_by_place(spark):
+    a, b = spark.createDataFrame([(0, "x"), (1, "y")], "k int, a string"), spark.createDataFrame([(0, "p"), (2, "q")], "k int, b string")
+    assert rows(W.zip_rows(a, b, ["k"])) == [(0, "x", "p")]
+    assert sorted((r.k, r.paired) for r in W.zip_rows(a, b, ["k"], unpaired=True).collect()) == [(0, True), (1, False), (2, False)]
+
+
+def _frame(version=3, bitrate=9, rate=0):
+    head = bytes([0xFF, 0xE0 | version << 3 | 1 << 1 | 1, bitrate << 4 | rate << 2, 0])
+    size = 144 * audio.BITRATES[1][bitrate] * 1000 // audio.RATES[version][rate]
+    return head + b"\0" * (size - 4)
+
+
+def test_durations_and_tags_from_bytes(spark):
+    text = lambda kind, body: kind.encode() + len(body).to_bytes(4, "big") + b"\0\0" + body
+    frames = text("TIT2", b"\3Chapter 7") + text("COMM", b"\0eng\0note") + text("TALB", "\1".encode("latin-1") + "Bük".encode("utf-16")) + text("APIC", b"\0image")
+    tag = b"ID3\3\0\0" + bytes([0, 0, len(frames) >> 7, len(frames) & 127]) + frames
+    data = [(1, tag + _frame() * 100), (2, _frame() * 10 + b"TAG" + b"x" * 125), (3, b"no audio"), (4, b""), (5, None)]
+    df = spark.createDataFrame(data, "k int, content binary")
+    got = {r.k: (r.ms, r.tags) for r in df.select("k", audio.mp3_duration_ms(F.col("content")).alias("ms"), audio.id3_frames(F.col("content")).alias("tags")).collect()}
+    assert got[1] == (2612, {"TIT2": "Chapter 7", "COMM": "note", "TALB": "Bük", "APIC": ""}) and got[2] == (261, {})
+    assert got[3] == got[4] == got[5] == (None, {})
+
+
+def test_chapter_frames_replace_old_ones(spark):
+    df = spark.createDataFrame([({"CHAP:x": "o", "CTOC": "o", "TIT2": "t"}, [("ch000", "A", 0, 5)]), (None, [])], "old map<string,string>, c array<struct<element:string,title:string,start_ms:long,end_ms:long>>")
+    got = [r.f for r in df.select(L.chapter_frames(F.col("old"), F.col("c")).alias("f")).collect()]
+    assert got == [{"TIT2": "t", "CHAP:ch000": "0|5|A", "CTOC:toc": "ch000"}, {"CTOC:toc": ""}]
+
+
+def test_tracks_of_equal_directories_are_apart(spark):
+    listing = ["/a/chapter_1/chapter_1.mp3", "/a/chapter_1/x_chapter_1.mp3", "/b/chapter_1/x_chapter_1.mp3", "/b/Chapter_02/old_chapter_02_b.mp3", "/b/chapter_3/chapter_1.mp3", "/b/notes/chapter_9.mp3"]
+    got = L.pick_tracks(spark.createDataFrame([(p,) for p in listing], "path string")).collect()
+    assert [r.path for r in got] == ["/a/chapter_1/chapter_1.mp3", "/b/Chapter_02/old_chapter_02_b.mp3", "/b/chapter_1/x_chapter_1.mp3"]
+
+
+def test_missing_inputs(spark, tmp_path):
+    (tmp_path / "c.png").write_bytes(b"x")
+    wanted = spark.createDataFrame([("a", str(tmp_path / "c.png")), ("b", str(tmp_path / "none.png")), ("c", None)], "book string, path string")
+    assert {r.book: (r.content and bytes(r.content), r.missing) for r in readers.covers(spark, wanted).collect()} == {"a": (b"x", False), "b": (None, True), "c": (None, True)}
+    assert readers.covers(spark, wanted.where("book = 'b'")).first().missing
+    with pytest.raises(FileNotFoundError):
+        readers.files(spark, str(tmp_path / "nowhere"))
+    with pytest.raises(FileNotFoundError):
+        readers.listed_catalogue(spark, str(tmp_path / "none.json"))
+    (tmp_path / "e.json").write_text("[]")
+    with pytest.raises(ValueError):
+        readers.listed_catalogue(spark, str(tmp_path / "e.json"))
+
+
+def test_lines_are_streamed_into_files(spark, tmp_path):
+    df = spark.createDataFrame([("b", 2, "z"), ("a", 2, "two"), ("a", 1, "one"), ("a", 3, None)], "name string, pos int, text string")
+    writers.write_lines(df, str(tmp_path / "o"), "name", ["pos"], "text")
+    assert (tmp_path / "o/a.txt").read_text() == "one\ntwo\n\n" and (tmp_path / "o/b.txt").read_text() == "z\n"
