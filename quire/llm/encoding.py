@@ -38,7 +38,7 @@ DROP = 1.5  # least drop of the mean surprise
 UNSEEN = 14.0  # surprise of neighbours that the sample never has
 UTF8_BONUS = 6.0  # bytes of other encodings are hardly ever valid UTF-8 by chance
 HONEST = 8.0  # neighbours that surprise less are left alone
-ODD = 10.5  # what a few characters must surprise by to be taken for others
+ODD = 10.2  # what a few characters must surprise by to be taken for others
 HOPELESS = 2.2  # mean log odds from which a stretch is garbled though nothing repairs it
 
 # Encodings that text was meant in, and those it was taken for.
@@ -48,6 +48,7 @@ TAKEN_FOR = ("cp1252", "latin-1", "cp1250", "cp1251", "cp1253", "cp437", "cp850"
 _NUMBER = re.compile(r"[0-9]")
 _BROKEN_WORD = re.compile(r"(?:^|\s)[–—…•†‡]\w|\w[„“«]\w")  # what no author writes
 _NEVER = re.compile("[\x80-\x9f\ufffd\u2500-\u259f\ue000-\uf8ff]")  # what no repair may give
+_FOREIGN_WORD = re.compile(r"[^\W\d_\u0000-\u024f]{2}")
 _KEPT = re.compile("[^\ufffd]+")
 _LOST = re.compile("[\x80-\x84\x86-\x9f�]")
 
@@ -266,9 +267,9 @@ def _allowed(piece: str, got: str, left: str, right: str, open_quote: bool, utf8
         # A capital with tilde or circumflex before a closing quote is no two-byte sequence.
         closes = n == 2 and piece.rstrip()[-1:] in "”’»" and open_quote
         return n >= (3 if wide_wrong else 2) and not closes
-    foreign = sum(c > "\u024f" and c.isalpha() for c in got)
-    if foreign:
-        return n >= 4
+    foreign = [c for c in got if c > "\u024f" and c.isalpha()]
+    if foreign:  # letters of an alphabet stand in words, not alone like signs
+        return n >= 4 and (max(foreign) > "\u2e7f" or bool(_FOREIGN_WORD.search(got)))
     return start >= ODD and not wide_wrong and not _BROKEN_WORD.search(left + got + right)
 
 

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import bisect
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,10 +34,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from quire.session import load, written
+from quire.session import checkpoint_dir, load, written
+from quire.sources import readers, writers
 
 RANGE = 4096  # code points of a range of a text
-FILE_RANGE = 1 << 20  # bytes of a range of a file
+FILE_RANGE = 1 << 18  # bytes of a range of a file
+FILE_LIMIT, FILE_OVERLAP = 20_000, 200  # characters of a file's piece and of what it repeats
 FAN = 16  # tables that are stitched into one
 LEFT_HALO = 64
 
@@ -301,3 +304,18 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Paragraphs that had to be split: (doc_id, sec, p)."""
     return p2_pieces(spark, d).where("piece = 2").select("doc_id", "sec", "p").distinct()
+
+
+def p2_files(spark: SparkSession, d: str) -> DataFrame:
+    """Pieces of novels as text files, cut by byte ranges: (doc_id, piece, start, end, text).
+
+    Every novel's paragraphs are written as a file first, a line each, in order; a file that one
+    piece can hold has no row.  The files are listed, and only ranges of them are read.
+    """
+    root = f"{checkpoint_dir(spark)}/novels-{uuid.uuid4().hex}"
+    rows = load(spark, d, "paragraphs").select("doc_id", "sec", "p", "text").where("text is not null")
+    writers.write_lines(rows.repartition("doc_id").distinct(), root, "doc_id", ["sec", "p", "text"], "text")
+    files = readers.files(spark, root, "*.txt").select("path", F.col("length").alias("bytes"))
+    ranges = file_ranges(files, FILE_LIMIT, FILE_OVERLAP).where("total > max_chars")
+    pieces = cut_ranges(ranges)
+    return pieces.select(F.regexp_extract("item", r"([0-9-]+)\.txt$", 1).cast("bigint").alias("doc_id"), "piece", "start", "end", "text")

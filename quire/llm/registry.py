@@ -9,6 +9,7 @@ QUERIES = {
     "p1_sentences": sentences.p1_sentences,
     "p2_found": pieces.p2_found,
     "p2_pieces": pieces.p2_pieces,
+    "p2_files": pieces.p2_files,
     "p3_found": encoding.p3_found,
     "p3_repaired": encoding.p3_repaired,
     "p5_found": boilerplate.p5_found,

@@ -5,8 +5,8 @@ picks the best sequence of tags.  Only characters that could end a sentence are
 marks with their closing signs, and spaces in or beside scripts without end marks); all
 others are inside.  Each carries features of the text around it.
 
-All weights start at zero and are learned (averaged structured perceptron) from a bounded
-sample.  No boundary is marked in the data, so the training tags come from
+All weights start at zero and are learned (averaged structured perceptron with a margin) from
+a bounded sample.  No boundary is marked in the data, so the training tags come from
 
 - lines put together: where one ends and the next begins is a boundary for certain;
 - labelling rules, on the sample's own lines: a table of what speaks for and against a
@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -31,8 +31,10 @@ from pyspark.sql import functions as F
 from quire.llm.sample import sample_texts
 from quire.session import load, once
 
-SAMPLE_ROWS = 6_000  # texts that the model is trained on, of at most sample.LONGEST characters each
-EPOCHS = 6
+SAMPLE_ROWS = 20_000  # texts that the model is trained on, of at most sample.LONGEST characters each
+EPOCHS = 4
+MARGIN = 4.0  # by which the right tag of each candidate has to win in training
+OFTEN = 200  # times that a feature should be seen in an epoch: chains with rarer ones are repeated
 LOOK_BACK = 40  # characters of a word before a mark that are looked at: no abbreviation is longer
 
 # Abbreviations before a name, others, months, verbs of speech.
@@ -174,8 +176,10 @@ def _mark_features(seen: _Line, at: int, marks: str, closers: str, end: int) ->
             f.append("indic")
         if not spaced and not closers:
             own = word.rsplit(".", 1)[-1].rsplit("-", 1)[-1]
-            tight = kind == "upper" and len(own) >= 2 and own.isalpha() and own.islower()
-            f.append("tight:new" if tight else "tight:inside")
+            after = _WORD.match(line, start)
+            caps = own.isupper() or bool(after and len(after.group()) > 1 and after.group().isupper())
+            word_ends = own.isalpha() and (len(own) >= 2 and own.islower() or len(own) >= 4 and own[1:].islower())
+            f += ["tight:new"] if kind == "upper" and word_ends and not caps else ["tight:inside", "tight:caps"] if caps else ["tight:inside"]
     elif mark in ";;":
         f.append("greek" if before and _GREEK.match(before) and kind not in ("lower",) else "semicolon")
     elif not spaced and mark in "!?" and kind != "east" and not closers:
@@ -216,7 +220,7 @@ RULES = {
     **{
         against: -30
         for against in (
-            "next:lower", "next:lower|tight", "next:digit|tight", "next:none", "title", "numbered", "initial", "ordinal", "indic", "tight:inside", "semicolon", "said", "quote|tight", "goes on", "pause", "listed",
+            "next:lower", "next:lower|tight", "next:digit|tight", "next:none", "title", "numbered", "initial", "ordinal", "indic", "tight:inside", "tight:caps", "semicolon", "said", "quote|tight", "goes on", "pause", "listed",
             "space:digit|script", "space:script|digit", "space:digit|letter", "space:letter|digit",
         )
     },
@@ -235,13 +239,15 @@ class SentenceModel:
     def __init__(self, weights: dict[str, float] | None = None) -> None:
         self.weights = dict(weights or {})
 
-    def decode(self, features: list[list[str]]) -> list[bool]:
-        """Best tags of a chain of candidates: True is a boundary."""
+    def decode(self, features: list[list[str]], gold: list[bool] | None = None) -> list[bool]:
+        """Best tags of a chain of candidates: True is a boundary.  With ``gold``, for training, wrong tags have ``MARGIN`` for them."""
         get = self.weights.get
         stay, again, bias = get("I|B", 0.0), get("B|B", 0.0), get("bias", 0.0)
         inside, bound, back = 0.0, 0.0, []
         for k, f in enumerate(features):
             score = bias + sum(get(x, 0.0) for x in f)
+            if gold is not None:
+                score += -MARGIN if gold[k] else MARGIN
             to_b = (bound + again, True) if k == 0 or bound + again >= inside + stay else (inside + stay, False)
             to_i = (bound, True) if k == 0 or bound >= inside else (inside, False)
             back.append((to_i[1], to_b[1]))
@@ -254,19 +260,21 @@ class SentenceModel:
 
     @classmethod
     def train(cls, texts: list[str], epochs: int = EPOCHS) -> "SentenceModel":
-        """Averaged structured perceptron; the order is fixed by a seed."""
+        """Averaged structured perceptron with a margin; the order is fixed by a seed."""
         dice = random.Random(7)
         return cls.learn(training_chains(texts, dice), dice, epochs)
 
     @classmethod
     def learn(cls, chains: list[tuple[list[list[str]], list[bool]]], dice: random.Random, epochs: int = EPOCHS) -> "SentenceModel":
         model, owed, step = cls(), defaultdict(float), 0
-        chains = list(chains)
+        seen = Counter(x for features, _ in chains for f in features for x in f if not x.startswith("word:"))
+        rarest = [min((seen[x] for f in features for x in f if x in seen), default=OFTEN) for features, _ in chains]
+        chains = [chain for chain, n in zip(chains, rarest) for _ in range(max(1, min(OFTEN // n, 50)))]
         for _ in range(epochs):
             dice.shuffle(chains)
             for features, gold in chains:
                 step += 1
-                guess = model.decode(features)
+                guess = model.decode(features, gold)
                 if guess == gold:
                     continue
                 for tags, sign in ((gold, 1.0), (guess, -1.0)):
@@ -341,7 +349,7 @@ def joined_chains(texts: list[str], dice: random.Random) -> list[tuple[list[list
             for line in group:
                 joined += line
                 ends.add(len(joined))
-                joined += "" if script == "east" else " "
+                joined += "" if script == "east" and (line[-1] > "⺀" or line.rstrip(_CLOSE)[-1:] > "⺀") else " "
             cuts = candidates(joined.rstrip())
             tags = ruled([f for _, f in cuts])
             if cuts:
