@@ -25,7 +25,9 @@ DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 # Fixed value: the public pattern that cuts text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE = 300_000
+CACHE = 300_000  # words whose ids a worker keeps, none longer than CACHED characters
+CACHED = 64
+PAIRS = 2_000_000  # pairs of tokens that a worker keeps
 
 
 class Encoder:
@@ -99,6 +101,8 @@ class Encoder:
         key = (a, b)
         known = self.pairs.get(key)
         if known is None:
+            if len(self.pairs) >= PAIRS:
+                self.pairs.clear()
             known = self.pairs[key] = self._check_pair(a, b)
         return known
 
@@ -157,7 +161,8 @@ class Encoder:
                 got = self._encode_piece(word.encode("utf-8", "replace"))
                 if len(words) >= CACHE:
                     words.clear()
-                words[word] = got
+                if len(word) <= CACHED:
+                    words[word] = got
             out += got
         return out
 

@@ -402,8 +402,9 @@ def repair_texts(df: DataFrame, cost: "Broadcast[GarblingCost]", text: str = "te
 
     Null and empty texts never are.  Text that can't be restored, or not wholly, keeps what
     is lost as it is.  Plain ASCII rows stay in the JVM; the rest is scored in bulk, and
-    only suspects are taken apart.
+    only suspects are taken apart.  A column named ``repaired`` is replaced.
     """
+    df = df.drop("repaired")
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = cost.value

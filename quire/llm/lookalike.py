@@ -169,8 +169,9 @@ def scan(df: DataFrame, cost: Broadcast[GarblingCost] | None = None, text: str =
 
     ``garbled`` tells whether the text was decoded wrongly; it is False without a ``cost``, and
     where the text is in ordinary characters already, as nothing is done to it then.
-    Plain ASCII rows stay in the JVM.
+    Plain ASCII rows stay in the JVM.  Columns of these names are replaced.
     """
+    df = df.drop("mapped", "core", "garbled")
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -199,8 +200,9 @@ def unify(df: DataFrame, cost: Broadcast[GarblingCost] | None = None, text: str
     Texts are of one class if their mapped values are equal under accent-sensitive Unicode
     collation; the least mapped value in binary order stands for all.  A text that is its
     own form has no row here.  Null and empty texts have none, nor, with a ``cost``, have
-    garbled ones.  Repeated rows are one.
+    garbled ones.  Repeated rows are one.  Columns named as the new ones are replaced.
     """
+    df = df.drop("form", "_a", "_b", "_t", "_changed", "_own", "_class")
     rows = scan(df, cost, text).where(~F.col("garbled") & (F.col(text) != "")).withColumns({"_a": F.xxhash64("core"), "_b": F.xxhash64("core", F.lit(1)), "_t": F.xxhash64(text), "_changed": F.col("mapped") != F.col(text)})
     rows = written(rows.drop("garbled", "core"))
     spellings = rows.groupBy("_a", "_b").agg(F.min("_t").alias("_least"), F.max("_t").alias("_most"), F.max("_changed").alias("_any"))

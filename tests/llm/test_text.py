@@ -322,3 +322,19 @@ def test_neighbours_are_counted_over_all_rows(spark):
     df = spark.createDataFrame([("é1é",), ("é2é",), ("plain",), (None,), ("é�",), ("né\né",)], "text string")
     counted, total = encoding.count_neighbours(df)
     assert counted == {"é0": 2, "0é": 2, "né": 1} and total == 5
+
+
+def test_extra_columns_of_clashing_names(spark, cost, model):
+    shared = spark.sparkContext.broadcast(cost)
+    df = spark.createDataFrame([(1, encoding.garble(BASE[0], "utf-8", "cp1252"), "x", "y", "z", 4)], "id int, text string, repaired string, mapped string, form string, _t int")
+    assert encoding.repair_texts(df, shared).select("id", "repaired", "mapped").first().repaired == BASE[0]
+    wide = df.withColumn("text", F.lit("ｗｉｄｅ"))
+    assert lookalike.unify(wide).select("id", "form", "repaired").collect() == [(1, "wide", "x")]
+    items = spark.createDataFrame([(1, 2, "word " * 9, 10, 2, "x", 3, 4)], "part int, lo int, text string, max_chars int, overlap_chars int, item string, piece int, total int")
+    assert pieces.split_oversized(items, ["part", "lo"]).where("part = 1 and lo = 2").count() > 3
+    rows = spark.createDataFrame([(1, "One. Two!", "x", 5)], "s_start0 int, text string, _text string, extra int")
+    assert sentences.split_sentences(rows, ["s_start0"], model).count() == 2
+    docs = spark.createDataFrame([(1, "404 Not Found", "x", "y", True)], "doc_id long, text string, form string, id string, trusted boolean")
+    assert residue.find_residue(docs).count() == 1
+    corpus = spark.createDataFrame([(1, "a", "some words", 3, 0.5)], "doc_id long, source string, text string, n_tokens int, u double")
+    assert mixing.replicate(corpus, spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int"))[0].count() == 1
