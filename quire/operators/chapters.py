@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from quire.functions import text as S
 from quire.operators import html as H
 from quire.operators import structure as W
+from quire.session import written
 
 # The markup that chapters and separators are told by, and the wrapper of a table of contents.
 DIV_ANCHOR = r'<div\s[^>]*class="calibre"[^>]*id="calibre_link-(\d+)"[^>]*>'
@@ -65,7 +66,10 @@ def parse_chapters(pages: DataFrame, config: dict) -> DataFrame:
     id_offset, title_strip_prefix and chapter_num_from_title where they differ from none.
     Chapters without a title or without a paragraph that tells the story have no row.
     """
-    nodes = H.html_nodes(pages.withColumn("html", S.fix_encoding(F.col("html"))))
+    told = {"h1", "p", "a", *(part.partition(".")[0] for part in (config.get("title_selector") or "").split()[-1:])}
+    texts = True if "" in told else frozenset(told)
+    # The nodes are read several times, the pages once.
+    nodes = written(H.html_nodes(pages.withColumn("html", S.fix_encoding(F.col("html"))), texts=texts).drop("html"))
     if config.get("flat_layout"):
         rows = flat_chapters(nodes, config["para_class"])
     else:
@@ -100,6 +104,7 @@ def segments(pages: DataFrame) -> DataFrame:
             "_separator": F.col("piece").rlike(f"^{SEPARATOR}"),
         }
     )
+    seen = written(seen)  # read several times, while pages are cut once
     named = toc_ids(pages).select("doc_id", F.explode("ids").alias("cid"))
     divided = seen.where("_div is not null").join(named, (seen.doc_id == named.doc_id) & (seen._div == named.cid), "left_semi").select("doc_id").distinct().withColumn("_divided", F.lit(True))
     rows = seen.join(divided, "doc_id", "left").withColumn("_divided", F.coalesce("_divided", F.lit(False)))

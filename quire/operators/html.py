@@ -21,7 +21,7 @@ NODES = (
 class _Tree(HTMLParser):
     """Elements in document order; an end tag closes the nearest open element of its name, or nothing."""
 
-    def __init__(self, texts: bool) -> None:
+    def __init__(self, texts: bool | frozenset[str]) -> None:
         super().__init__(convert_charrefs=True)
         self.texts = texts
         self.nodes: list[dict] = []
@@ -29,8 +29,9 @@ class _Tree(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         at = len(self.nodes)
+        told = self.texts is True or bool(self.texts) and tag in self.texts
         own = {k: v or "" for k, v in attrs}
-        self.nodes.append({"pos": at, "parent_pos": self.open[-1] if self.open else -1, "depth": len(self.open), "tag": tag, "id": own.get("id"), "classes": own.get("class", "").split(), "attrs": own, "pieces": [], "own": [], "ancestors": list(self.open)})
+        self.nodes.append({"pos": at, "parent_pos": self.open[-1] if self.open else -1, "depth": len(self.open), "tag": tag, "id": own.get("id"), "classes": own.get("class", "").split(), "attrs": own, "told": told, "pieces": [], "own": [], "ancestors": list(self.open)})
         if tag not in VOID:
             self.open.append(at)
 
@@ -49,17 +50,18 @@ class _Tree(HTMLParser):
         if not self.texts:
             return
         for at in self.open:
-            self.nodes[at]["pieces"].append(data)
-        if self.open:
+            if self.nodes[at]["told"]:
+                self.nodes[at]["pieces"].append(data)
+        if self.open and self.nodes[self.open[-1]]["told"]:
             self.nodes[self.open[-1]]["own"].append(data)
 
     def handle_comment(self, data: str) -> None:
-        if self.open and self.texts:
+        if self.open and self.nodes[self.open[-1]]["told"]:
             self.nodes[self.open[-1]]["own"].append(data)
 
 
-def parse(html: str | None, texts: bool = True) -> list[dict]:
-    """H1: nodes of a document; none for null or empty text.  Without ``texts`` the elements only.
+def parse(html: str | None, texts: bool | frozenset[str] = True) -> list[dict]:
+    """H1: nodes of a document; none for null or empty text.  ``texts`` names the elements whose text is wanted, if not that of all or of none.
 
     ``text`` joins the stripped pieces of all text below by a space (H10), ``joined`` by
     nothing (H11), ``direct`` is the node's own text with comments (H8).
@@ -72,14 +74,14 @@ def parse(html: str | None, texts: bool = True) -> list[dict]:
     for n in tree.nodes:
         pieces = [p for p in (x.strip() for x in n.pop("pieces")) if p]
         own = "".join(n.pop("own")).strip()
-        n["text"], n["joined"], n["direct"] = (" ".join(pieces), "".join(pieces), own) if texts else (None, None, None)
+        n["text"], n["joined"], n["direct"] = (" ".join(pieces), "".join(pieces), own) if n.pop("told") else (None, None, None)
     return tree.nodes
 
 
-def html_nodes(docs: DataFrame, html: str = "html", texts: bool = True) -> DataFrame:
+def html_nodes(docs: DataFrame, html: str = "html", texts: bool | frozenset[str] = True) -> DataFrame:
     """H1: one row an element, with the other columns of the document.
 
-    An element's text holds that of all below it, so ask for ``texts`` only where they are read.
+    An element's text holds that of all below it, so name the elements whose ``texts`` are read, or none.
     """
     keep = [c for c in docs.columns if c != html]
     kinds = dict(docs.dtypes)

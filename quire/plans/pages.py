@@ -12,7 +12,8 @@ from quire.functions import text as S
 from quire.operators import chapters as C
 from quire.operators import html as H
 from quire.operators import structure as W
-from quire.plans.queries import _PAGES_SQL, INTEGER, PARAGRAPHS, SECTIONS, SPACE, TOC, files, pages, paragraphs, query, sections, toc
+from quire.plans.queries import _PAGES_SQL, INTEGER, PARAGRAPHS, SECTIONS, SPACE, TOC, pages, paragraphs, query, sections, toc
+from quire.session import written
 
 FLAT = {"para_class": "calibre2", "flat_layout": True, "chapter_num_from_title": True}
 DIV = {"para_class": "calibre4", "title_selector": "div.head p.name", "id_offset": 1, "title_strip_prefix": True}
@@ -91,7 +92,7 @@ _SEGMENTS_SQL = f"""(SELECT c.doc_id, c.cid, CASE WHEN c.cid = '0' THEN regexp_r
 @query(f"SELECT doc_id, cid, len(html) AS n_chars, md5(html) AS html FROM {_SEGMENTS_SQL}")
 def chapter_segments(spark: SparkSession, d: str) -> DataFrame:
     """Each chapter's slice of its page."""
-    return C.segments(pages(spark, d)).select("doc_id", "cid", F.length("html").cast("bigint").alias("n_chars"), F.md5("html").alias("html"))
+    return C.segments(written(pages(spark, d))).select("doc_id", "cid", F.length("html").cast("bigint").alias("n_chars"), F.md5("html").alias("html"))
 
 
 _SPLIT_SQL = f"""SELECT doc_id, chunk_no, first_number, last_number, label, file, n_segments, n_items, md5('<html>' || '<head>' || chr(10) || '    <meta charset="utf-8">' || chr(10) || '    <meta name="viewport" content="width=device-width, initial-scale=1.0">' || chr(10)
@@ -110,7 +111,7 @@ _SPLIT_SQL = f"""SELECT doc_id, chunk_no, first_number, last_number, label, file
 @query(_SPLIT_SQL)
 def split_files(spark: SparkSession, d: str) -> DataFrame:
     """Split files of four chapters each."""
-    return C.split_pages(pages(spark, d), 4).withColumn("html", F.md5("html"))
+    return C.split_pages(written(pages(spark, d)), 4).withColumn("html", F.md5("html"))
 
 
 @query(
