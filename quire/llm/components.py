@@ -20,7 +20,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star rounds: each round links nodes to the smallest
     neighbour, so hubs are never gathered and the rounds grow with the logarithm of the
-    longest path.  Lineage is cut each round with a reliable checkpoint.
+    longest path.  Least neighbours are found by partial aggregation; where a hub's links meet
+    its one least neighbour, adaptive execution splits them.  Lineage is cut each round with
+    a reliable checkpoint.
     """
     links = cut_lineage(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     state = _state(links)

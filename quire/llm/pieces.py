@@ -28,7 +28,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -222,7 +221,7 @@ def split_oversized(items: DataFrame, keys: list[str], size: int = RANGE) -> Dat
 
 def _opened(path: str):
     """A file on any file system that its URI names, to be read by ranges."""
-    system, at = pyarrow.fs.FileSystem.from_uri(path)
+    system, at = writers.opened(path)
     return system.open_input_file(at)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = 1 << 30
-LONGEST = 20_000  # characters of a text that may be sampled, so that the sample is bounded in bytes too
+LONGEST = 5_000  # characters of a text that may be sampled, so that the sample is bounded in bytes too (20,000 rows: 100 million characters at most, a few million as a rule)
 
 
 def sample_texts(df: DataFrame, text: str, rows: int) -> list[str]:
