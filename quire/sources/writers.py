@@ -10,9 +10,16 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 
+def opened(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system that a URI or an absolute path names, and the path in it."""
+    if path.startswith("s3a://"):  # Hadoop's name for it
+        path = "s3" + path[3:]
+    return pyarrow.fs.FileSystem.from_uri(path)
+
+
 def replace_file(path: str, content: bytes) -> None:
     """K3: a file's new content: written beside it first and then moved over it, so that a reader sees one or the other."""
-    system, at = pyarrow.fs.FileSystem.from_uri(path)
+    system, at = opened(path)
     folder = at.rpartition("/")[0]
     if folder:
         system.create_dir(folder, recursive=True)
@@ -41,7 +48,7 @@ def write_lines(df: DataFrame, root: str, name: str, order: list[str], text: str
     """
 
     def put(rows: Iterator[Row]) -> None:
-        system, at = pyarrow.fs.FileSystem.from_uri(root)
+        system, at = opened(root)
         system.create_dir(at, recursive=True)
         now, out = None, None
         for r in rows:
