@@ -48,6 +48,9 @@ TAKEN_FOR = ("cp1252", "latin-1", "cp1250", "cp1251", "cp1253", "cp437", "cp850"
 _NUMBER = re.compile(r"[0-9]")
 _BROKEN_WORD = re.compile(r"(?:^|\s)[–—…•†‡]\w|\w[„“«]\w")  # what no author writes
 _NEVER = re.compile("[\x80-\x9f\ufffd\u2500-\u259f\ue000-\uf8ff]")  # what no repair may give
+# Cyrillic and Greek letters that look like Latin ones, and where such a letter stands in a Latin word.
+_DOUBLES = frozenset("асԁеһіјӏорԛѕуԝхкАВСЕНІЈКМОРЅТХҮαικνορτυχωΑΒΕΖΗΙΚΜΝΟΡΤΥΧ")
+_MIXED = re.compile("(?<=[A-Za-z])[\u0370-\u052f]+|[\u0370-\u052f]+(?=[A-Za-z])")
 _FOREIGN_WORD = re.compile(r"[^\W\d_\u0000-\u024f]{2}")
 _KEPT = re.compile("[^\ufffd]+")
 _LOST = re.compile("[\x80-\x84\x86-\x9f�]")
@@ -278,6 +281,14 @@ def _quoted(text: str, x: int) -> bool:
     return any(text.count(o, 0, x) > text.count(c, 0, x) for o, c in ("“”", "‘’", "«»"))
 
 
+def _doubled(text: str, piece: str) -> bool:
+    """Whether ``piece`` is one of several look-alikes in Latin words: letters put in on purpose, not garbled."""
+    if not all(c in _DOUBLES for c in piece if c > "~"):
+        return False
+    mixed = "".join(_MIXED.findall(text))
+    return len(mixed) > 1 and all(c in _DOUBLES for c in mixed)
+
+
 def _repair_span(text: str, x: int, y: int, cost: GarblingCost) -> str | None:
     """The strict round trip of ``text[x:y]`` that surprises least, if it does so by much less.
 
@@ -289,6 +300,7 @@ def _repair_span(text: str, x: int, y: int, cost: GarblingCost) -> str | None:
     if start < HONEST:
         return None
     wide = sum(c > "~" for c in text[x:y])
+    doubled = _doubled(text, text[x:y])
     quoted = _quoted(text, x)
     best, best_cost = None, start - DROP
     frontier, bonus = [text[x:y]], 0.0
@@ -314,7 +326,7 @@ def _repair_span(text: str, x: int, y: int, cost: GarblingCost) -> str | None:
                     utf8 = right == "utf-8"
                     if not _allowed(piece, got, left, right_, quoted, utf8, wide_wrong, start):
                         continue
-                    if not utf8 and wide == 1 and not cost.familiar(left + got + right_):
+                    if not utf8 and (doubled or wide == 1 and not cost.familiar(left + got + right_)):
                         continue
                     price = cost.surprise(left + got + right_) - bonus - UTF8_BONUS * utf8
                     if price < best_cost:

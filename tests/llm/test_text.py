@@ -86,7 +86,7 @@ def test_repair_is_a_round_trip(cost, right, wrong):
 
 
 def test_honest_text_is_left_alone(spark, cost):
-    assert not any(encoding.repair(t, cost)[0] for t in [*BASE, "║ Status ║ Level 12 ║ Mana 3/12 ║"])
+    assert not any(encoding.repair(t, cost)[0] for t in [*BASE, "║ Status ║ Level 12 ║ Mana 3/12 ║", "Twisted Аbасuѕ", "Тovin Аsh carried it"])
     df = spark.createDataFrame([(1, None), (2, ""), (3, "plain"), (4, "lost � sign"), (4, "lost � sign"), (5, BASE[0])], "id int, text string")
     assert [r.id for r in encoding.repair_texts(df, spark.sparkContext.broadcast(cost)).collect()] == [4, 4]
 
