@@ -30,7 +30,7 @@ from quire.session import load, written
 
 SAMPLE_ROWS = 20_000  # rows that the cost is fitted on
 BITS = 18  # of the hashed tables
-LAYERS = 3
+PASSES = 3  # spans that a wide character is in while a text is repaired, at most on average
 WINDOW = 4  # neighbouring characters that are summed up
 SUSPECT = 2.5  # summed log odds from which a stretch is tried
 GARBLED_SHARE = 12  # each pair of encodings garbles one in so many rows of the sample
@@ -304,7 +304,7 @@ def _repair_span(text: str, x: int, y: int, cost: GarblingCost) -> str | None:
     quoted = _quoted(text, x)
     best, best_cost = None, start - DROP
     frontier, bonus = [text[x:y]], 0.0
-    for _ in range(LAYERS):
+    while frontier:  # a layer has fewer characters than the one above it, so they end
         tried: set[bytes] = set()
         found: set[str] = set()
         deeper = []
@@ -320,24 +320,23 @@ def _repair_span(text: str, x: int, y: int, cost: GarblingCost) -> str | None:
                         got = raw.decode(right)
                     except UnicodeDecodeError:
                         continue
-                    if got == piece or got in found or _NEVER.search(got):
+                    utf8 = right == "utf-8"
+                    passing = bool(_NEVER.search(got))  # no repair itself, but another layer may be below it
+                    if got == piece or got in found or passing and not utf8:
                         continue
                     found.add(got)
-                    utf8 = right == "utf-8"
                     if not _allowed(piece, got, left, right_, quoted, utf8, wide_wrong, start):
                         continue
                     if not utf8 and (doubled or wide == 1 and not cost.familiar(left + got + right_)):
                         continue
                     price = cost.surprise(left + got + right_) - bonus - UTF8_BONUS * utf8
-                    if price < best_cost:
+                    if price < best_cost and not passing:
                         best, best_cost = got, price
                     if utf8:
                         deeper.append(got)
                         break
         frontier = [g for g in deeper if not g.isascii()]
         bonus += UTF8_BONUS
-        if not frontier:
-            break
     return best
 
 
@@ -346,8 +345,8 @@ def repair(text: str, cost: GarblingCost) -> tuple[bool, str]:
     garbled = bool(_LOST.search(text))
     done = text
     hopeless: set[tuple] = set()  # spans with what their repair depends on
-    # Each pass repairs a wide character at least, and a stretch has LAYERS layers at most.
-    for _ in range(LAYERS * sum(c > "~" for c in text)):
+    # Each pass repairs a wide character at least, through all of its layers.
+    for _ in range(PASSES * sum(c > "~" for c in text)):
         spans = _stretches(done, cost)
         shift, end, changed = 0, 0, False
         for k, (a, b) in enumerate(spans):

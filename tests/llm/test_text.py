@@ -338,3 +338,10 @@ def test_extra_columns_of_clashing_names(spark, cost, model):
     assert residue.find_residue(docs).count() == 1
     corpus = spark.createDataFrame([(1, "a", "some words", 3, 0.5)], "doc_id long, source string, text string, n_tokens int, u double")
     assert mixing.replicate(corpus, spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int"))[0].count() == 1
+
+
+def test_repair_goes_through_all_layers(cost):
+    text = bad = "El guardián guardó el mapa en la caja grande, señora."
+    for _ in range(5):
+        bad = encoding.garble(bad, "utf-8", "latin-1")
+    assert encoding.repair(bad, cost) == (True, text)
