@@ -16,48 +16,91 @@ NODES = (
     "pos INT, parent_pos INT, depth INT, tag STRING, id STRING, classes ARRAY<STRING>, attrs MAP<STRING,STRING>, "
     "text STRING, joined STRING, direct STRING, ancestors ARRAY<INT>"
 )
+PORTION = 1 << 18  # characters of a page's parts that are parsed at a time
+NODES_AT_ONCE = 4096  # elements of a batch that leaves Python
 
 
 class _Tree(HTMLParser):
-    """Elements in document order; an end tag closes the nearest open element of its name, or nothing."""
+    """Elements, each handed over in ``done`` once nothing can be added to it; an end tag closes the nearest open element of its name, or nothing.
+
+    A page may be fed in parts; a text that goes on in the next part is one text.
+    """
 
     def __init__(self, texts: bool | frozenset[str]) -> None:
         super().__init__(convert_charrefs=True)
         self.texts = texts
-        self.nodes: list[dict] = []
-        self.open: list[int] = []
+        self.n = 0
+        self.open: list[dict] = []
+        self.done: list[dict] = []
+        self.in_text = self.goes_on = False
+
+    def feed(self, data: str) -> None:
+        self.goes_on = self.in_text
+        super().feed(data)
+
+    def close(self) -> None:
+        self.goes_on = self.in_text
+        super().close()
+        self._finish(0)
+
+    def _finish(self, k: int) -> None:
+        self.done += [n for n in self.open[k:] if n["told"]]
+        del self.open[k:]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        at = len(self.nodes)
+        self.in_text = self.goes_on = False
         told = self.texts is True or bool(self.texts) and tag in self.texts
         own = {k: v or "" for k, v in attrs}
-        self.nodes.append({"pos": at, "parent_pos": self.open[-1] if self.open else -1, "depth": len(self.open), "tag": tag, "id": own.get("id"), "classes": own.get("class", "").split(), "attrs": own, "told": told, "pieces": [], "own": [], "ancestors": list(self.open)})
+        node = {"pos": self.n, "parent_pos": self.open[-1]["pos"] if self.open else -1, "depth": len(self.open), "tag": tag, "id": own.get("id"), "classes": own.get("class", "").split(), "attrs": own, "told": told, "pieces": [], "own": [], "ancestors": [n["pos"] for n in self.open]}
+        self.n += 1
         if tag not in VOID:
-            self.open.append(at)
+            self.open.append(node)
+        if tag in VOID or not told:
+            self.done.append(node)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
-        if self.open and self.nodes[self.open[-1]]["tag"] == tag and tag not in VOID:
-            self.open.pop()
+        if tag not in VOID:
+            self._finish(len(self.open) - 1)
 
     def handle_endtag(self, tag: str) -> None:
+        self.in_text = self.goes_on = False
         for k in range(len(self.open) - 1, -1, -1):
-            if self.nodes[self.open[k]]["tag"] == tag:
-                del self.open[k:]
+            if self.open[k]["tag"] == tag:
+                self._finish(k)
                 return
 
     def handle_data(self, data: str) -> None:
         if not self.texts:
             return
-        for at in self.open:
-            if self.nodes[at]["told"]:
-                self.nodes[at]["pieces"].append(data)
-        if self.open and self.nodes[self.open[-1]]["told"]:
-            self.nodes[self.open[-1]]["own"].append(data)
+        for n in self.open:
+            if n["told"]:
+                if self.goes_on:
+                    n["pieces"][-1] += data
+                else:
+                    n["pieces"].append(data)
+        if self.open and self.open[-1]["told"]:
+            self.open[-1]["own"].append(data)
+        self.in_text, self.goes_on = True, False
 
     def handle_comment(self, data: str) -> None:
-        if self.open and self.nodes[self.open[-1]]["told"]:
-            self.nodes[self.open[-1]]["own"].append(data)
+        self.in_text = self.goes_on = False
+        if self.open and self.open[-1]["told"]:
+            self.open[-1]["own"].append(data)
+
+    def handle_decl(self, decl: str) -> None:
+        self.in_text = self.goes_on = False
+
+    handle_pi = unknown_decl = handle_decl
+
+    def taken(self) -> list[dict]:
+        """The elements that are done and were not yet taken, in document order."""
+        out, self.done = sorted(self.done, key=lambda n: n["pos"]), []
+        for n in out:
+            pieces = [p for p in (x.strip() for x in n.pop("pieces")) if p]
+            own = "".join(n.pop("own")).strip()
+            n["text"], n["joined"], n["direct"] = (" ".join(pieces), "".join(pieces), own) if n["told"] else (None, None, None)
+        return out
 
 
 def parse(html: str | None, texts: bool | frozenset[str] = True) -> list[dict]:
@@ -71,32 +114,77 @@ def parse(html: str | None, texts: bool | frozenset[str] = True) -> list[dict]:
     tree = _Tree(texts)
     tree.feed(html)
     tree.close()
-    for n in tree.nodes:
-        pieces = [p for p in (x.strip() for x in n.pop("pieces")) if p]
-        own = "".join(n.pop("own")).strip()
-        n["text"], n["joined"], n["direct"] = (" ".join(pieces), "".join(pieces), own) if n.pop("told") else (None, None, None)
-    return tree.nodes
+    return tree.taken()
+
+
+def _value(v: object, kind: str) -> object:
+    """A value as it was before it became a number of pandas: nulls and integers beside nulls are floats there."""
+    if v is pd.NaT or isinstance(v, float) and v != v and kind not in ("float", "double"):
+        return None
+    return int(v) if isinstance(v, float) and kind in ("tinyint", "smallint", "int", "bigint") else v
 
 
-def html_nodes(docs: DataFrame, html: str = "html", texts: bool | frozenset[str] = True) -> DataFrame:
+def html_nodes(docs: DataFrame, html: str = "html", texts: bool | frozenset[str] = True, key: str = "doc_id") -> DataFrame:
     """H1: one row an element, with the other columns of the document.
 
     An element's text holds that of all below it, so name the elements whose ``texts`` are read, or none.
+    A document is a row, or, with a column ``part``, its rows of the same ``key`` in the order of ``part``,
+    read as one text.  Such a document is never held as a whole: parts are fed to the parser as they come,
+    and elements leave it as they end.
     """
-    keep = [c for c in docs.columns if c != html]
+    parts = "part" in docs.columns
+    keep = [c for c in docs.columns if c not in (html, "part")]
     kinds = dict(docs.dtypes)
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in keep] + [NODES])
     names = [c.split(" ")[0] for c in NODES.replace("MAP<STRING,STRING>", "MAP").split(", ")]
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def frame(rows: list[tuple[list, list[dict]]]) -> pd.DataFrame:
+        out = pd.DataFrame({c: pd.Series([own[i] for own, nodes in rows for _ in nodes], dtype="object") for i, c in enumerate(keep)})
+        for name in names:
+            out[name] = [n[name] for _, nodes in rows for n in nodes]
+        return out
+
+    def documents(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list, list[dict]]]:
+        """(columns kept, elements that are done), a document once or more often."""
+        tree, at, own, held, chars = None, None, [], [], 0
         for pdf in batches:
-            trees = [parse(h, texts) for h in pdf[html]]
-            out = pdf[keep].loc[pdf.index.repeat([len(t) for t in trees])].reset_index(drop=True)
-            for name in names:
-                out[name] = [n[name] for t in trees for n in t]
-            if len(out):
-                yield out
+            for *row, text in zip(*(pdf[c].tolist() for c in keep), pdf[html]):
+                row = [_value(v, kinds[c]) for c, v in zip(keep, row)]
+                now = row[keep.index(key)] if parts else None
+                if tree is not None and not (parts and now == at):
+                    tree.feed("".join(held))
+                    tree.close()
+                    yield own, tree.taken()
+                    tree = None
+                if tree is None:
+                    tree, at, own, held, chars = _Tree(texts), now, row, [], 0
+                if text:
+                    held.append(text)
+                    chars += len(text)
+                if chars >= PORTION:
+                    tree.feed("".join(held))
+                    held, chars = [], 0
+                    yield own, tree.taken()
+        if tree is not None:
+            tree.feed("".join(held))
+            tree.close()
+            yield own, tree.taken()
 
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out, n = [], 0
+        for own, nodes in documents(batches):
+            for i in range(0, len(nodes), NODES_AT_ONCE):
+                some = nodes[i : i + NODES_AT_ONCE]
+                out.append((own, some))
+                n += len(some)
+                if n >= NODES_AT_ONCE:
+                    yield frame(out)
+                    out, n = [], 0
+        if n:
+            yield frame(out)
+
+    if parts:
+        docs = docs.repartition(key).sortWithinPartitions(key, "part").select(*keep, html)
     return docs.mapInPandas(rows, schema)
 
 

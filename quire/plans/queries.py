@@ -17,7 +17,7 @@ from quire.functions import text as S
 from quire.operators import html as H
 from quire.operators import library as L
 from quire.operators import structure as W
-from quire.session import checkpoint_dir, load
+from quire.session import checkpoint_dir, load, small, written
 from quire.sources import readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -211,24 +211,53 @@ HEAD = "<html><head><title>"
 WRAPPER = '<div class="calibre" id="calibre_link-0">'
 
 
-def pages(spark: SparkSession, d: str) -> DataFrame:
-    """(doc_id, html).  A file is one row here, as it is one text for a browser."""
+def _page_rows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Of the pages that `pages` makes: (doc_id, novel, items), and (doc_id, sec, text) of the chapters."""
     items = toc(spark, d).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ref_id", "li_html"))), lambda x: x["li_html"]), "").alias("items"))
     body = paragraphs(spark, d).groupBy("doc_id", "sec").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", F.concat(F.lit('<p class="calibre2">'), "text", F.lit("</p>")).alias("t")))), lambda x: x["t"]), "").alias("body")
     )
     part = F.concat(F.lit('<div class="calibre1"></div><h1 id="'), "link_id", F.lit('" class="calibre1">'), F.coalesce("title", F.lit("")), F.lit("</h1>"), F.coalesce("body", F.lit("")))
-    chapters = sections(spark, d).join(body, ["doc_id", "sec"], "left").select("doc_id", "sec", part.alias("part"))
-    joined = chapters.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sec", "part"))), lambda x: x["part"]), "").alias("chapters"))
-    return joined.join(files(spark, d).select("doc_id", "novel"), "doc_id").join(items, "doc_id", "left").select(
-        "doc_id",
-        F.concat(
-            F.lit(HEAD), F.coalesce("novel", F.lit("")), F.lit('</title></head><body>' + WRAPPER + '<nav role="doc-toc"><h2>Contents</h2><ol>'),
-            F.coalesce("items", F.lit("")), F.lit("</ol></nav>"), "chapters", F.lit("</div>"), F.when(F.col("doc_id") % 3 == 0, "</BODY>\n</HTML>").otherwise("</body></html>"),
-        ).alias("html"),
+    chapters = sections(spark, d).join(body, ["doc_id", "sec"], "left").select("doc_id", "sec", part.alias("text"))
+    return files(spark, d).select("doc_id", "novel").join(items, "doc_id", "left"), chapters
+
+
+def _page_start() -> Column:
+    return F.concat(
+        F.lit(HEAD), F.coalesce("novel", F.lit("")), F.lit('</title></head><body>' + WRAPPER + '<nav role="doc-toc"><h2>Contents</h2><ol>'), F.coalesce("items", F.lit("")), F.lit("</ol></nav>")
     )
 
 
+def _page_end() -> Column:
+    return F.concat(F.lit("</div>"), F.when(F.col("doc_id") % 3 == 0, "</BODY>\n</HTML>").otherwise("</body></html>"))
+
+
+def in_parts(chapters: DataFrame, start: DataFrame, end: Column) -> DataFrame:
+    """(doc_id, part, html): pages as rows that are read in the order of ``part``, so that no page is held as a whole.
+
+    ``chapters``: (doc_id, sec, text), a part each.  ``start``: (doc_id, text), what comes before; pages without it
+    or without chapters have no row.  ``end`` comes after.
+    """
+    least, most = -(1 << 31), 1 << 31  # no section has a number beyond
+    docs = written(start.select("doc_id").join(chapters.select("doc_id").distinct(), "doc_id", "left_semi").distinct())
+    first = start.join(small(docs), "doc_id", "left_semi").select("doc_id", F.lit(least - 2).cast("bigint").alias("part"), F.col("text").alias("html"))
+    inner = chapters.where("text is not null").join(small(docs), "doc_id", "left_semi").select("doc_id", F.coalesce(F.col("sec").cast("bigint"), F.lit(least - 1)).alias("part"), F.col("text").alias("html"))
+    return first.unionByName(inner).unionByName(docs.select("doc_id", F.lit(most).cast("bigint").alias("part"), end.alias("html")))
+
+
+def pages_in_parts(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, part, html): `pages`, a row a chapter."""
+    whole, chapters = _page_rows(spark, d)
+    return in_parts(chapters, whole.select("doc_id", _page_start().alias("text")), _page_end())
+
+
+def pages(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, html).  A file is one row here, as it is one text for a browser."""
+    whole, chapters = _page_rows(spark, d)
+    joined = chapters.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sec", "text"))), lambda x: x["text"]), "").alias("chapters"))
+    return joined.join(whole, "doc_id").select("doc_id", F.concat(_page_start(), "chapters", _page_end()).alias("html"))
+
+
 _PAGES_SQL = f"""(SELECT c.doc_id, '{HEAD}' || coalesce(f.novel, '') || '</title></head><body>{WRAPPER}<nav role="doc-toc"><h2>Contents</h2><ol>'
  || coalesce(i.items, '') || '</ol></nav>' || c.chapters || '</div>' || CASE WHEN c.doc_id % 3 = 0 THEN '</BODY>' || chr(10) || '</HTML>' ELSE '</body></html>' END AS html
  FROM (SELECT s.doc_id, string_agg('<div class="calibre1"></div><h1 id="' || s.link_id || '" class="calibre1">' || coalesce(s.title, '') || '</h1>' || coalesce(b.body, ''), '' ORDER BY s.sec) AS chapters
@@ -517,7 +546,8 @@ def counts(spark: SparkSession, d: str) -> DataFrame:
 )
 def dom_nodes(spark: SparkSession, d: str) -> DataFrame:
     """Element counts of each page, its layout and what the wrapper holds directly."""
-    nodes = H.html_nodes(pages(spark, d), texts=False)
+    # The elements are read twice, the pages once.
+    nodes = written(H.html_nodes(pages_in_parts(spark, d), texts=False).select("doc_id", "pos", "parent_pos", "tag", "id", "classes"))
     wrapper = nodes.where(H.is_wrapper()).select("doc_id", "pos")
     inside = H.children(nodes, wrapper).groupBy("doc_id").agg(F.sum(H.is_heading().cast("int")).alias("headings_in_wrapper"))
     seen = nodes.groupBy("doc_id").agg(

@@ -178,6 +178,26 @@ def test_html_nodes(spark):
     assert bare.count() == nodes.count() and bare.where("text is not null or direct is not null").count() == 0
 
 
+def test_pages_in_parts_are_read_as_one_text(spark):
+    html = "<p>a &amp; b</p><div><p>one<!-- c --> two<br>three <b>x</b></p><p class='k'>loose<p>nested</div><script>if (a < b) '</p>'</script>&lt;end"
+    whole = [(r.pos, r.parent_pos, r.depth, r.tag, r.text, r.joined, r.direct, r.ancestors) for r in H.html_nodes(spark.createDataFrame([(7, html)], "doc_id int, html string")).orderBy("pos").collect()]
+    for step in (1, 3, 10):
+        cut = [(7, i, html[i : i + step]) for i in range(0, len(html), step)][::-1] + [(8, 0, "<i>"), (8, 1, "other</i>"), (9, 0, None)]
+        rows = H.html_nodes(spark.createDataFrame(cut, "doc_id int, part int, html string")).orderBy("doc_id", "pos").collect()
+        assert [(r.pos, r.parent_pos, r.depth, r.tag, r.text, r.joined, r.direct, r.ancestors) for r in rows if r.doc_id == 7] == whole
+        assert [(r.doc_id, r.tag, r.text) for r in rows if r.doc_id != 7] == [(8, "i", "other")]
+
+
+def test_elements_of_a_long_page_leave_the_parser_early():
+    tree = H._Tree(frozenset({"p"}))
+    for k in range(1000):
+        tree.feed(f"<p>{k}</p>" if k else "<body><p>0</p>")
+        assert len(tree.done) <= 2 and len(tree.open) == 1
+        assert tree.taken()[-1]["text"] == str(k)
+    tree.close()
+    assert tree.taken() == []
+
+
 def test_split_layout_leaves_the_wrapper_without_headings(spark):
     html = '<div class="calibre" id="calibre_link-0"><nav></nav></div><h1 id="calibre_link-5">C</h1>'
     nodes = H.html_nodes(spark.createDataFrame([(1, html)], "doc_id int, html string"))
