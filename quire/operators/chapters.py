@@ -62,14 +62,21 @@ def div_chapters(nodes: DataFrame, para_class: str, title_selector: str | None,
 def parse_chapters(pages: DataFrame, config: dict) -> DataFrame:
     """Paragraphs of all chapters: (doc_id, link_id, title, chapter, pos, p, text).
 
-    ``pages``: (doc_id, html) of one configuration: para_class, and flat_layout, title_selector,
+    ``pages``: (doc_id, html), or (doc_id, part, html) as `html.html_nodes` takes it, of one configuration: para_class, and flat_layout, title_selector,
     id_offset, title_strip_prefix and chapter_num_from_title where they differ from none.
     Chapters without a title or without a paragraph that tells the story have no row.
     """
     told = {"h1", "p", "a", *(part.partition(".")[0] for part in (config.get("title_selector") or "").split()[-1:])}
     texts = True if "" in told else frozenset(told)
-    # The nodes are read several times, the pages once.
-    nodes = written(H.html_nodes(pages.withColumn("html", S.fix_encoding(F.col("html"))), texts=texts).drop("html"))
+    nodes = H.html_nodes(pages.withColumn("html", S.fix_encoding(F.col("html"))), texts=texts)
+    # The nodes are read several times, the pages once.  A paragraph's text is written once, not in its three forms.
+    if config.get("flat_layout"):
+        titled = H.is_heading()
+        nodes = nodes.where(H.is_wrapper() | H.is_heading() | ((F.col("tag") == "p") & H.has_class(config["para_class"]))).drop("attrs", "ancestors", "depth", "direct")
+    else:
+        titled = (F.col("tag") == "a") | (H.matches(config["title_selector"].split()[-1]) if config.get("title_selector") else F.lit(False))
+        nodes = nodes.withColumns({"attrs": F.when(F.col("tag").isin("nav", "a"), F.col("attrs")), "direct": F.when(titled, F.col("direct"))}).drop("depth")
+    nodes = written(nodes.withColumn("joined", F.when(titled, F.col("joined"))))
     if config.get("flat_layout"):
         rows = flat_chapters(nodes, config["para_class"])
     else:

@@ -221,7 +221,7 @@ def descendants(nodes: DataFrame, tops: DataFrame, key: str = "doc_id") -> DataF
     return above.join(up, (above[key] == F.col("_key")) & (F.col("top") == F.col("_pos")), "left_semi")
 
 
-def _matches(part: str) -> Column:
+def matches(part: str) -> Column:
     """One step of a selector: ``tag``, ``tag.class`` or ``.class``."""
     tag, _, cls = part.partition(".")
     return (F.col("tag") == tag if tag else F.lit(True)) & (has_class(cls) if cls else F.lit(True))
@@ -238,11 +238,11 @@ def select_first(nodes: DataFrame, tops: DataFrame, selector: str, key: str = "d
     chosen = None
     for part in outer:
         hit = nodes if chosen is None else descendants(nodes, chosen, key).drop("top")
-        chosen = hit.where(_matches(part)).select(key, "pos").distinct()
-    found = descendants(nodes.where(_matches(last)), tops, key)
+        chosen = hit.where(matches(part)).select(key, "pos").distinct()
+    found = descendants(nodes.where(matches(last)), tops, key)
     if chosen is not None:
         up = chosen.select(F.col(key).alias("_k"), F.col("pos").alias("_p"))
-        inner = nodes.where(_matches(last)).select(key, "pos", F.explode("ancestors").alias("_up"))
+        inner = nodes.where(matches(last)).select(key, "pos", F.explode("ancestors").alias("_up"))
         inner = inner.join(up, (inner[key] == up["_k"]) & (inner["_up"] == up["_p"]), "left_semi").select(key, "pos").distinct()
         found = found.join(inner, [key, "pos"], "left_semi")
     return found.groupBy(key, "top").agg(F.min_by(F.struct("pos", "text", "joined", "direct"), "pos").alias("_n")).select(key, "top", "_n.*")

@@ -12,7 +12,7 @@ from quire.functions import text as S
 from quire.operators import chapters as C
 from quire.operators import html as H
 from quire.operators import structure as W
-from quire.plans.queries import _PAGES_SQL, INTEGER, PARAGRAPHS, SECTIONS, SPACE, TOC, pages, paragraphs, query, sections, toc
+from quire.plans.queries import _PAGES_SQL, INTEGER, PARAGRAPHS, SECTIONS, SPACE, TOC, WRAPPER, in_parts, pages, paragraphs, query, sections, toc
 from quire.session import written
 
 FLAT = {"para_class": "calibre2", "flat_layout": True, "chapter_num_from_title": True}
@@ -23,17 +23,15 @@ def _escaped(text: Column) -> Column:
     return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
 
-def _page(spark: SparkSession, d: str, chapter: Column, para: str) -> DataFrame:
-    """(doc_id, html): pages whose chapters are ``chapter`` around ``_body``, after a table of contents."""
+def _page(spark: SparkSession, d: str, chapter: Column, para: str, before: str = "") -> DataFrame:
+    """(doc_id, part, html): pages whose chapters are ``chapter`` around ``_body``, after ``before`` and a table of contents; a row a chapter."""
     item = F.concat(F.lit('<li><a href="#'), "link_id", F.lit('"><b>'), _escaped(F.col("title")), F.lit("</b></a></li>"))
     items = toc(spark, d).where("link_id is not null and title is not null").groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ref_id", item.alias("t")))), lambda x: x["t"]), "").alias("items"))
     text = F.concat(F.lit(f'<p class="x {para}">'), _escaped(F.col("text")), F.lit("</p>"))
     body = paragraphs(spark, d).groupBy("doc_id", "sec").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", text.alias("t")))), lambda x: x["t"]), "").alias("_body"))
-    made = sections(spark, d).join(body, ["doc_id", "sec"], "left").select("doc_id", "sec", chapter.alias("t"))
-    joined = made.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sec", "t"))), lambda x: x["t"]), "").alias("chapters"))
-    return joined.join(items, "doc_id", "left").select(
-        "doc_id", F.concat(F.lit('<html><body><nav role="doc-toc"><ol>'), F.coalesce("items", F.lit("")), F.lit("</ol></nav>"), "chapters", F.lit("</body></html>")).alias("html")
-    )
+    made = sections(spark, d)
+    start = made.select("doc_id").distinct().join(items, "doc_id", "left").select("doc_id", F.concat(F.lit(f'<html><body>{before}<nav role="doc-toc"><ol>'), F.coalesce("items", F.lit("")), F.lit("</ol></nav>")).alias("text"))
+    return in_parts(made.join(body, ["doc_id", "sec"], "left").select("doc_id", "sec", chapter.alias("text")), start, F.lit("</body></html>"))
 
 
 def _stripped(column: str) -> str:
@@ -55,9 +53,7 @@ _LINK_NUMBER = INTEGER.format("regexp_extract(link_id, '^calibre_link-([0-9]+)$'
 def chapters_flat(spark: SparkSession, d: str) -> DataFrame:
     """Chapters of pages that headings divide."""
     heading = F.concat(F.lit('<div class="calibre1"></div><h1 id="'), "link_id", F.lit('" class="calibre1">'), _escaped(F.coalesce("title", F.lit(""))), F.lit("</h1>"), F.coalesce("_body", F.lit("")))
-    html = _page(spark, d, heading, FLAT["para_class"])
-    wrapped = html.withColumn("html", F.concat(F.regexp_replace("html", "^<html><body>", '<html><body><div class="calibre" id="calibre_link-0">'), F.lit("")))
-    return C.parse_chapters(wrapped, FLAT).select("doc_id", "link_id", F.md5("title").alias("title"), "chapter", "p", F.md5("text").alias("text"))
+    return C.parse_chapters(_page(spark, d, heading, FLAT["para_class"], WRAPPER), FLAT).select("doc_id", "link_id", F.md5("title").alias("title"), "chapter", "p", F.md5("text").alias("text"))
 
 
 _LISTED = f"""(SELECT doc_id, link_id, arg_max(title, (pos, ref_id)) AS listed FROM (SELECT doc_id, pos, ref_id, link_id, regexp_replace({_stripped(_FIXED.format('title'))}, '(?i)^.*?chapter\\s', 'Chapter ') AS title
@@ -128,7 +124,7 @@ def page_headers(spark: SparkSession, d: str) -> DataFrame:
 def page_labels(spark: SparkSession, d: str) -> DataFrame:
     """Divisions and their labels, interleaved."""
     chapter = F.concat(F.lit('<div class="y calibre" id="'), "link_id", F.lit('"></div>'))
-    html = _page(spark, d, chapter, "calibre2").withColumn("html", F.concat(F.lit('<div class="calibre" id="calibre_link-0"></div><div class="calibre1" id="calibre_link-9"></div>'), "html"))
+    html = _page(spark, d, chapter, "calibre2", '<div class="calibre" id="calibre_link-0"></div><div class="calibre1" id="calibre_link-9"></div>')
     rows = C.label_rows(H.html_nodes(html, texts=False)).withColumn("id", F.max(F.when(F.col("place") == 0, F.col("text"))).over(W.Window.partitionBy("doc_id", "pos")))
     return rows.select("doc_id", S.link_number(F.col("id")).alias("link"), F.col("place").cast("bigint").alias("place"), "text")
 

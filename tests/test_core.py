@@ -301,6 +301,17 @@ def test_chapters_of_both_layouts(spark):
     assert rows(got.select("link_id", "title", "chapter", "p", "text")) == [("calibre_link-1", "Chapter 1 x : A", 0, 1, "a"), ("calibre_link-2", "Chapter 2: B", 1, 1, "b"), ("calibre_link-2", "Chapter 2: B", 1, 2, "Chapter 2: B")]
 
 
+@pytest.mark.parametrize("config", [{"para_class": "c", "flat_layout": True}, {"para_class": "c", "title_selector": "p.t"}])
+def test_chapters_of_pages_in_parts(spark, config):
+    flat = "flat_layout" in config
+    head = '<body><div class="calibre" id="calibre_link-0">' if flat else "<body>"
+    start = (lambda k: f'<h1 id="calibre_link-{k}">Chapter {k}</h1>') if flat else (lambda k: f'</div><div class="calibre" id="calibre_link-{k}"><p class="t">Chapter {k}</p>')
+    parts = [head, *(start(k) + "".join(f'<p class="c">{k} &amp;amp; {i}</p>' for i in range(3)) for k in range(1, 6)), "</body>"]
+    rows = [(1, i, t) for i, t in enumerate(parts)][::-1] + [(2, 0, head + start(9) + '<p class="c">other</p>')]
+    got = C.parse_chapters(spark.createDataFrame(rows, "doc_id int, part int, html string"), config).select("doc_id", "chapter", "p", "title", "text").collect()
+    assert sorted(map(tuple, got)) == [(1, k, i + 1, f"Chapter {k}", f"{k} &amp; {i}") for k in range(1, 6) for i in range(3)] + [(2, 9, 1, "Chapter 9", "other")]
+
+
 def test_labels_stand_after_their_divisions(spark):
     html = '<div class="calibre" id="calibre_link-0"></div><div class="x calibre" id="calibre_link-4"><div class="calibre1" id="calibre_link-5"></div></div><p class="calibre" id="calibre_link-6"></p>'
     got = C.label_rows(H.html_nodes(spark.createDataFrame([(1, html)], "doc_id int, html string"), texts=False)).orderBy("pos", "place")
