@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from quire.functions import text as S
 from quire.operators import html as H
 from quire.operators import structure as W
-from quire.session import written
+from quire.session import small, written
 
 # The markup that chapters and separators are told by, and the wrapper of a table of contents.
 DIV_ANCHOR = r'<div\s[^>]*class="calibre"[^>]*id="calibre_link-(\d+)"[^>]*>'
@@ -91,6 +91,17 @@ def toc_ids(pages: DataFrame) -> DataFrame:
     return pages.select("doc_id", F.array_distinct(F.regexp_extract_all("html", F.lit(TOC_LINK), F.lit(1))).alias("ids"))
 
 
+def _in_parts(pages: DataFrame) -> DataFrame:
+    return pages if "part" in pages.columns else pages.withColumn("part", F.lit(0).cast("bigint"))
+
+
+def toc_rows(parts: DataFrame) -> DataFrame:
+    """(doc_id, k, cid): numbers of the links in a page's parts, the first of each, numbered from 1 in order."""
+    links = parts.select("doc_id", "part", F.posexplode(F.regexp_extract_all("html", F.lit(TOC_LINK), F.lit(1))).alias("at", "cid"))
+    first = links.groupBy("doc_id", "cid").agg(F.min(F.struct("part", "at")).alias("_first"))
+    return first.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("_first")).alias("k"), "cid")
+
+
 def segments(pages: DataFrame) -> DataFrame:
     """(doc_id, cid, html) of each chapter that the table of contents names.
 
@@ -99,11 +110,15 @@ def segments(pages: DataFrame) -> DataFrame:
     the next start, whether that one is named or not, the last to the end of the body.  Of
     headings after one separator the last has all of the text.  Of a repeated id the last counts.
 
-    Pages are cut into pieces at every mark, so a page's text is moved once, not once a chapter.
+    ``pages``: (doc_id, html), or (doc_id, part, html): a page's rows in the order of the integer ``part``,
+    cut where no mark is cut.  Pages are cut into pieces at every mark, so a page's text is moved once, not once a chapter.
     """
+    pages = _in_parts(pages)
     body = F.substring(F.col("html"), F.lit(1), H.body_end(F.col("html")))
     marks = rf"(?={DIV_ANCHOR}|{H1_ANCHOR}|{SEPARATOR})"
-    cut = pages.select("doc_id", F.posexplode(F.split(body, marks)).alias("pos", "piece")).withColumn("pos", F.col("pos").cast("bigint"))
+    cut = pages.select("doc_id", "part", F.col("html").rlike("(?i)</body").alias("_ends"), F.posexplode(F.split(body, marks)).alias("pos", "piece"))
+    # A part has less than 2^31 pieces.
+    cut = cut.withColumn("pos", F.col("part").cast("bigint") * (1 << 31) + F.col("pos"))
     seen = cut.withColumns(
         {
             "_div": S.first_group(F.col("piece"), f"^{DIV_ANCHOR}"),
@@ -112,7 +127,9 @@ def segments(pages: DataFrame) -> DataFrame:
         }
     )
     seen = written(seen)  # read several times, while pages are cut once
-    named = toc_ids(pages).select("doc_id", F.explode("ids").alias("cid"))
+    ends = seen.where("_ends").groupBy("doc_id").agg(F.min("part").alias("_end"))
+    seen = seen.join(small(written(ends)), "doc_id", "left").where("_end is null or part <= _end").drop("part", "_ends", "_end")
+    named = toc_rows(pages).select("doc_id", "cid")
     divided = seen.where("_div is not null").join(named, (seen.doc_id == named.doc_id) & (seen._div == named.cid), "left_semi").select("doc_id").distinct().withColumn("_divided", F.lit(True))
     rows = seen.join(divided, "doc_id", "left").withColumn("_divided", F.coalesce("_divided", F.lit(False)))
     rows = W.asof_before(rows, ["doc_id"], "pos", F.col("_separator"), "_from")
@@ -129,10 +146,15 @@ def segments(pages: DataFrame) -> DataFrame:
     return latest.join(named, ["doc_id", "cid"], "left_semi")
 
 
-def chunk_toc(tag: Column, inner: Column, end_tag: Column, items: Column, label: Column) -> Column:
-    """The table of contents of a split file: the first heading is replaced by the label, the list holds its items."""
+def toc_heading(inner: Column) -> Column:
+    """STRUCT<open, close> of the tags of the first heading in a table of contents, NULL without one."""
     head = r"(?s)(<h2[^>]*>)(.*?)(</h2>)"
-    title = F.when(inner.rlike(head), F.concat(F.regexp_extract(inner, head, 1), label, F.regexp_extract(inner, head, 3))).otherwise(F.concat(F.lit("<h2>"), label, F.lit("</h2>")))
+    return F.when(inner.rlike(head), F.struct(F.regexp_extract(inner, head, 1).alias("open"), F.regexp_extract(inner, head, 3).alias("close")))
+
+
+def chunk_toc(tag: Column, heading: Column, end_tag: Column, items: Column, label: Column) -> Column:
+    """The table of contents of a split file: the first heading is replaced by the label, the list holds its items."""
+    title = F.concat(F.coalesce(heading["open"], F.lit("<h2>")), label, F.coalesce(heading["close"], F.lit("</h2>")))
     # Indents and list style.
     return F.concat(
         tag, F.lit("\n      "), title, F.lit('\n      <ul style="list-style: none; padding: 0;">\n        '), F.array_join(items, "\n        "), F.lit("\n      </ul>\n    "), end_tag
@@ -144,37 +166,49 @@ def split_pages(pages: DataFrame, n: int) -> DataFrame:
 
     Result: (doc_id, chunk_no, first_number, last_number, label, file, n_segments, n_items, html).  Chapters
     are taken by the order of ids, list items by their place; ``n_items`` differs from the
-    ids' number where the two do not pair.  Pages without ids in a table have no row.
+    ids' number where the two do not pair.  Pages without ids in a table have no row.  Pages may be in
+    parts, as for `segments`; a table of contents, a title and a footer stand in one part each.
     """
     block = r'(?s)(<nav[^>]*?role="doc-toc"[^>]*>)(.*?)(</nav>)'
+    pages = _in_parts(pages)
     h = F.col("html")
-    heads = pages.join(toc_ids(pages), "doc_id").where(F.size("ids") > 0).select(
-        "doc_id", "ids", H.title(h).alias("_title"), H.footer(h).alias("_footer"), h.rlike(block).alias("_has_toc"),
-        *(F.regexp_extract(h, block, g).alias(f"_t{g}") for g in (1, 2, 3)),
+    ids = written(toc_rows(pages).withColumn("chunk_no", F.floor((F.col("k") - 1) / n).cast("int") + 1))
+
+    def first(value: Column, there: Column) -> Column:
+        return F.min(F.when(there, F.struct("part", value.alias("v"))))["v"]
+
+    def group(g: int) -> Column:
+        return F.regexp_extract(h, block, g)
+
+    has_title, has_footer, has_toc = h.rlike(H.TITLE), h.rlike(H.FOOTER), h.rlike(block)
+    # Of a table of contents, what is in every file of the page; its items are rows.
+    heads = pages.where(has_title | has_footer | has_toc).groupBy("doc_id").agg(
+        first(H.title(h), has_title).alias("_title"), first(H.footer(h), has_footer).alias("_footer"), first(F.struct(group(1).alias("t1"), group(3).alias("t3"), toc_heading(group(2)).alias("h")), has_toc).alias("_toc")
     )
-    heads = heads.withColumn("_items", F.regexp_extract_all("_t2", F.lit(r"(?s)(<li[^>]*>.*?</li>)"), F.lit(1)))
-    count = F.size("ids")
-    chunk = heads.withColumn("chunk_no", F.explode(F.sequence(F.lit(1), F.ceil(count / n).cast("int"))))
-    first = (F.col("chunk_no") - 1) * n + 1
-    chunk = chunk.withColumns({"_a": first, "_b": F.least(first + n - 1, count)})
-    chunk = chunk.withColumns({"_own": F.slice("ids", F.col("_a"), F.lit(n)), "_lis": F.slice("_items", F.col("_a"), F.lit(n))})
+    place = pages.where(has_toc).groupBy("doc_id").agg(F.min("part").alias("part"))
+    items = pages.join(place, ["doc_id", "part"]).select("doc_id", F.posexplode(F.regexp_extract_all(group(2), F.lit(r"(?s)(<li[^>]*>.*?</li>)"), F.lit(1))).alias("k", "li"))
+    items = written(items)
+    lists = items.groupBy("doc_id", (F.floor(F.col("k") / n).cast("int") + 1).alias("chunk_no")).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "li"))), lambda x: x["li"]).alias("_lis"))
+    counts = items.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("n_items"))
+    chunk = ids.groupBy("doc_id", "chunk_no").agg(F.min("k").alias("_a"), F.max("k").alias("_b")).join(heads, "doc_id", "left").join(counts, "doc_id", "left").join(lists, ["doc_id", "chunk_no"], "left")
+    chunk = chunk.withColumns({"_lis": F.coalesce("_lis", F.array().cast("array<string>")), "n_items": F.coalesce("n_items", F.lit(0)), "_title": F.coalesce("_title", F.lit(H.NO_TITLE)), "_footer": F.coalesce("_footer", F.lit(H.NO_FOOTER))})
     chunk = chunk.withColumns({"first_number": S.item_number(F.get("_lis", F.lit(0))), "last_number": S.item_number(F.get("_lis", F.size("_lis") - 1))})
     both = F.col("first_number").isNotNull() & F.col("last_number").isNotNull()
     label = F.when(both, F.format_string("Chapters %d - %d", "first_number", "last_number")).otherwise(F.format_string("Chapters %d - %d", "_a", "_b"))
     chunk = chunk.withColumns({"label": label, "file": F.format_string("index_%d_%d.html", F.coalesce("first_number", "_a"), F.coalesce("last_number", "_b"))})
     parts = (
-        chunk.select("doc_id", "chunk_no", F.posexplode("_own").alias("_k", "cid"))
+        ids.select("doc_id", "chunk_no", F.col("k").alias("_k"), "cid")
         .join(segments(pages).withColumnRenamed("html", "_segment"), ["doc_id", "cid"])
         .groupBy("doc_id", "chunk_no")
         .agg(F.array_sort(F.collect_list(F.struct("_k", "_segment"))).alias("_parts"))
     )
     joined = chunk.join(parts, ["doc_id", "chunk_no"], "left")
-    toc = chunk_toc(F.col("_t1"), F.col("_t2"), F.col("_t3"), F.col("_lis"), F.col("label"))
-    wrapped = F.when(F.col("_has_toc"), F.concat(F.lit(f"\n{TOC_WRAPPER}\n"), toc, F.lit("\n</div>\n"))).otherwise("")
+    toc = chunk_toc(F.col("_toc.t1"), F.col("_toc.h"), F.col("_toc.t3"), F.col("_lis"), F.col("label"))
+    wrapped = F.when(F.col("_toc").isNotNull(), F.concat(F.lit(f"\n{TOC_WRAPPER}\n"), toc, F.lit("\n</div>\n"))).otherwise("")
     html = F.concat(F.lit("<html>"), H.clean_head(F.col("_title")), F.lit("\n<body>"), wrapped, F.lit("\n"), F.coalesce(F.array_join("_parts._segment", ""), F.lit("")), F.lit("\n"), F.col("_footer"))
     return joined.select(
         "doc_id", "chunk_no", "first_number", "last_number", "label", "file",
-        F.when(F.col("_parts").isNull(), 0).otherwise(F.size("_parts")).alias("n_segments"), F.size("_items").alias("n_items"), html.alias("html"),
+        F.when(F.col("_parts").isNull(), 0).otherwise(F.size("_parts")).alias("n_segments"), "n_items", html.alias("html"),
     )
 
 

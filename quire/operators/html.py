@@ -259,10 +259,13 @@ def toc_links(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
     return descendants(nodes, nav, key).where("tag = 'a' and attrs['href'] is not null").select(key, "pos", F.col("attrs")["href"].alias("href"), "joined").distinct()
 
 
+TITLE, NO_TITLE = r"(?id)<title>(.*?)</title>", "Unknown"
+FOOTER, NO_FOOTER = r"(?i)</body>\s*</html>", "</body></html>"
+
+
 def title(html: Column) -> Column:
     """First title element, as it is even if empty; ``Unknown`` without one."""
-    pattern = r"(?id)<title>(.*?)</title>"
-    return F.when(html.rlike(pattern), F.regexp_extract(html, pattern, 1)).otherwise("Unknown")
+    return F.when(html.rlike(TITLE), F.regexp_extract(html, TITLE, 1)).otherwise(NO_TITLE)
 
 
 def clean_head(name: Column) -> Column:
@@ -274,8 +277,7 @@ def clean_head(name: Column) -> Column:
 
 def footer(html: Column) -> Column:
     """End of body and file, as it is or by default."""
-    pattern = r"(?i)</body>\s*</html>"
-    return F.when(html.rlike(pattern), F.regexp_extract(html, pattern, 0)).otherwise("</body></html>")
+    return F.when(html.rlike(FOOTER), F.regexp_extract(html, FOOTER, 0)).otherwise(NO_FOOTER)
 
 
 def body_end(html: Column) -> Column:

@@ -12,7 +12,7 @@ from quire.functions import text as S
 from quire.operators import chapters as C
 from quire.operators import html as H
 from quire.operators import structure as W
-from quire.plans.queries import _PAGES_SQL, INTEGER, PARAGRAPHS, SECTIONS, SPACE, TOC, WRAPPER, in_parts, pages, paragraphs, query, sections, toc
+from quire.plans.queries import _PAGES_SQL, INTEGER, PARAGRAPHS, SECTIONS, SPACE, TOC, WRAPPER, in_parts, pages, pages_in_parts, paragraphs, query, sections, toc
 from quire.session import written
 
 FLAT = {"para_class": "calibre2", "flat_layout": True, "chapter_num_from_title": True}
@@ -107,7 +107,7 @@ _SPLIT_SQL = f"""SELECT doc_id, chunk_no, first_number, last_number, label, file
 @query(_SPLIT_SQL)
 def split_files(spark: SparkSession, d: str) -> DataFrame:
     """Split files of four chapters each."""
-    return C.split_pages(written(pages(spark, d)), 4).withColumn("html", F.md5("html"))
+    return C.split_pages(written(pages_in_parts(spark, d)), 4).withColumn("html", F.md5("html"))
 
 
 @query(

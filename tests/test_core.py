@@ -301,6 +301,17 @@ def test_chapters_of_both_layouts(spark):
     assert rows(got.select("link_id", "title", "chapter", "p", "text")) == [("calibre_link-1", "Chapter 1 x : A", 0, 1, "a"), ("calibre_link-2", "Chapter 2: B", 1, 1, "b"), ("calibre_link-2", "Chapter 2: B", 1, 2, "Chapter 2: B")]
 
 
+def test_split_pages_in_parts(spark):
+    toc = "".join(f'<li><a href="#calibre_link-{k}">Chapter {k}</a></li>' for k in range(1, 6))
+    head = f'<html><head><title>T</title></head><body><nav role="doc-toc"><h2 class="x">C</h2>{toc}</nav>'
+    parts = [head, *(f'<div class="calibre1"></div><h1 id="calibre_link-{k}">Chapter {k}</h1><p>{k}</p>' for k in range(1, 7)), "late</BODY>\n</html>", '<h1 id="calibre_link-1">after</h1></body></html>']
+    whole = C.split_pages(spark.createDataFrame([(1, "".join(parts))], "doc_id int, html string"), 2)
+    cut = C.split_pages(spark.createDataFrame([(1, i, t) for i, t in enumerate(parts)][::-1], "doc_id int, part int, html string"), 2)
+    rows = sorted(map(tuple, cut.collect()))
+    assert rows == sorted(map(tuple, whole.collect())) and [r[6] for r in rows] == [2, 2, 1]
+    assert rows[0][-1].endswith("<p>2</p>\n</BODY>\n</html>") and '<h2 class="x">Chapters 1 - 2</h2>' in rows[0][-1]
+
+
 @pytest.mark.parametrize("config", [{"para_class": "c", "flat_layout": True}, {"para_class": "c", "title_selector": "p.t"}])
 def test_chapters_of_pages_in_parts(spark, config):
     flat = "flat_layout" in config
