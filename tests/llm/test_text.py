@@ -345,3 +345,9 @@ def test_repair_goes_through_all_layers(cost):
     for _ in range(5):
         bad = encoding.garble(bad, "utf-8", "latin-1")
     assert encoding.repair(bad, cost) == (True, text)
+
+
+def test_p5_forms_differ_in_no_letter_case():
+    lines = ["Straße frei", "STRASSE FREI", "ΛΟΓΟΣ", "λόγος", "λογος", "İstanbul", "istanbul", "ΐ", ""]
+    forms = boilerplate.forms_of(lines)
+    assert lines[0] == "Straße frei" and forms[0] == forms[1] and forms[2] == forms[4] != forms[3] and forms[5] == forms[6] and forms[-1] == ""
